@@ -218,7 +218,7 @@ def leaked(documents: DataFrame, items: DataFrame, passage: int = PASSAGE, share
     comes out once with its greatest figures. Empty tables give no rows, extra columns are ignored. Items are
     broadcast in blocks of `block`, and every block is held against all documents.
     """
-    least = lambda n: int(np.ceil(share * min(passage, n)))
+    least = lambda n: int(share * min(passage, n))
     found: DataFrame | None = None
     rows = documents.where("doc_id is not null").select("doc_id", "text")
     context = documents.sparkSession.sparkContext
