@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.numbers import fdiv
@@ -43,30 +43,28 @@ def ljung_box_test(df: DataFrame, max_lags: int) -> DataFrame:
     return rows.select(e, (F.col("k") + 1).alias("lag"), (F.col("n") * (F.col("n") + 2) * F.sum("x").over(w)).alias("q"))
 
 
-def normality_k2(n: Column, skew: Column, kurtosis: Column) -> Column:
-    """D'Agostino and Pearson's K^2 from n, population skewness and population kurtosis (3 for the normal)."""
-    n = n.cast("double")
-    y = skew * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
-    b2 = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
-    w2 = F.sqrt(2 * (b2 - 1)) - 1
-    alpha = F.sqrt(2 / (w2 - 1))
-    z1 = F.log(y / alpha + F.sqrt(y * y / (alpha * alpha) + 1)) / F.sqrt(0.5 * F.log(w2))
-    mean = 3 * (n - 1) / (n + 1)
-    var = 24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
-    x = (kurtosis - mean) / F.sqrt(var)
-    s = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
-    a = 6 + 8 / s * (2 / s + F.sqrt(1 + 4 / (s * s)))
-    t = (1 - 2 / a) / (1 + x * F.sqrt(2 / (a - 4)))
-    z2 = (1 - 2 / (9 * a) - F.signum(t) * F.pow(F.abs(t), F.lit(1 / 3))) / F.sqrt(2 / (9 * a))
-    return F.when(n >= 8, z1 * z1 + z2 * z2)
-
-
 def normality_test(df: DataFrame) -> DataFrame:
-    """entity, k2; null for fewer than 8 rows or a constant."""
+    """entity, k2: D'Agostino and Pearson's K^2; null for fewer than 8 rows or a constant."""
     p = PanelSpec.of(df)
-    some = df.groupBy(p.entity).agg(F.count(p.target).alias("n"), F.skewness(p.target).alias("s"), F.kurtosis(p.target).alias("k"), F.var_pop(p.target).alias("v"))
-    some = some.withColumns({c: F.when((F.col("n") >= 8) & (F.col("v") > 0), F.col(c)) for c in ("s", "k")}).withColumn("m", F.when(F.col("n") >= 8, F.col("n")))
-    return some.select(p.entity, normality_k2(F.col("m"), F.col("s"), F.col("k") + 3).alias("k2"))
+    some = df.groupBy(p.entity).agg(F.count(p.target).cast("double").alias("n"), F.skewness(p.target).alias("b1"), F.kurtosis(p.target).alias("g2"), F.var_pop(p.target).alias("v"))
+    n = F.col("n")
+    rows = some.withColumn("n", F.when((n >= 8) & (F.col("v") > 0), n))
+    # each step is a projection of its own: written out in one expression they'd be too long to compile
+    steps = [
+        ("y", F.col("b1") * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))),
+        ("b2", 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))),
+        ("w2", F.sqrt(2 * (F.col("b2") - 1)) - 1),
+        ("u", F.col("y") / F.sqrt(2 / (F.col("w2") - 1))),
+        ("z1", F.log(F.col("u") + F.sqrt(F.col("u") * F.col("u") + 1)) / F.sqrt(0.5 * F.log("w2"))),
+        ("x", (F.col("g2") + 3 - 3 * (n - 1) / (n + 1)) / F.sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5)))),
+        ("s", 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))),
+        ("a", 6 + 8 / F.col("s") * (2 / F.col("s") + F.sqrt(1 + 4 / (F.col("s") * F.col("s"))))),
+        ("t", (1 - 2 / F.col("a")) / (1 + F.col("x") * F.sqrt(2 / (F.col("a") - 4)))),
+        ("z2", (1 - 2 / (9 * F.col("a")) - F.signum("t") * F.pow(F.abs("t"), F.lit(1 / 3))) / F.sqrt(2 / (9 * F.col("a")))),
+    ]
+    for name, column in steps:
+        rows = rows.withColumn(name, column)
+    return rows.select(p.entity, (F.col("z1") * F.col("z1") + F.col("z2") * F.col("z2")).alias("k2"))
 
 
 def rank_point_forecasts(y_true: DataFrame, y_pred: DataFrame, sort_by: str = "smape", descending: bool = False) -> DataFrame:

@@ -10,23 +10,31 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegrid.functions.numbers import fdiv
 from tidegrid.spec import PanelSpec
 
-A, P = F.col("a__"), F.col("p__")
+
+def _a() -> Column:
+    return F.col("a__")
+
+
+def _p() -> Column:
+    return F.col("p__")
+
 
 # name -> aggregate over actual a__ and predicted p__
 POINT: dict[str, Callable[[], Column]] = {
-    "mae": lambda: F.avg(F.abs(P - A)),
-    "bias": lambda: F.avg(P - A),
-    "mape": lambda: F.avg(fdiv(F.abs(A - P), F.abs(A))),
-    "mse": lambda: F.avg((P - A) * (P - A)),
-    "rmse": lambda: F.sqrt(F.avg((P - A) * (P - A))),
-    "smape": lambda: fdiv(F.sum(F.abs(P - A)), F.sum(P + A)),
-    "smape_original": lambda: 100 * F.avg(2 * F.abs(P - A) / (F.lit(1e-4) + F.abs(A) + F.abs(P))),
-    "overforecast": lambda: F.coalesce(F.sum(F.when(P > A, P)), F.lit(0.0)),
-    "underforecast": lambda: F.coalesce(F.sum(F.when(P < A, P)), F.lit(0.0)),
+    "mae": lambda: F.avg(F.abs(_p() - _a())),
+    "bias": lambda: F.avg(_p() - _a()),
+    "mape": lambda: F.avg(fdiv(F.abs(_a() - _p()), F.abs(_a()))),
+    "mse": lambda: F.avg((_p() - _a()) * (_p() - _a())),
+    "rmse": lambda: F.sqrt(F.avg((_p() - _a()) * (_p() - _a()))),
+    "smape": lambda: fdiv(F.sum(F.abs(_p() - _a())), F.sum(_p() + _a())),
+    "smape_original": lambda: 100 * F.avg(2 * F.abs(_p() - _a()) / (F.lit(1e-4) + F.abs(_a()) + F.abs(_p()))),
+    "overforecast": lambda: F.coalesce(F.sum(F.when(_p() > _a(), _p())), F.lit(0.0)),
+    "underforecast": lambda: F.coalesce(F.sum(F.when(_p() < _a(), _p())), F.lit(0.0)),
 }
 
 
@@ -77,7 +85,6 @@ def rmsse(y_true: DataFrame, y_pred: DataFrame, y_train: DataFrame, sp: int = 1)
     return scaled_metrics(y_true, y_pred, y_train, ["rmsse"], sp)
 
 
-@F.pandas_udf("double")
 def _phi(z: pd.Series) -> pd.Series:
     """Distribution function of the standard normal."""
     return pd.Series(np.fromiter((0.5 * (1 + math.erf(x / math.sqrt(2))) for x in z.to_numpy(float)), float, len(z)))
@@ -87,10 +94,10 @@ def crps(y_true: DataFrame, y_pred: DataFrame, y_pred_std: DataFrame) -> DataFra
     """Mean continuous ranked probability score of normal forecasts (means and standard deviations by key)."""
     t, s = PanelSpec.of(y_true), PanelSpec.of(y_pred_std)
     spread = y_pred_std.select(F.col(s.entity).alias(t.entity), F.col(s.time).alias(t.time), F.col(s.target).cast("double").alias("s__"))
-    rows = matched(y_true, y_pred).join(spread, [t.entity, t.time], "left").where("p__ is not null and s__ > 0").withColumn("z__", (A - P) / F.col("s__"))
+    rows = matched(y_true, y_pred).join(spread, [t.entity, t.time], "left").where("p__ is not null and s__ > 0").withColumn("z__", (_a() - _p()) / F.col("s__"))
     z = F.col("z__")
     density = F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
-    rows = rows.withColumn("phi__", _phi("z__"))
+    rows = rows.withColumn("phi__", F.pandas_udf(_phi, T.DoubleType())("z__"))
     return rows.groupBy(t.entity).agg(F.avg(F.col("s__") * (z * (2 * F.col("phi__") - 1) + 2 * density - 1 / math.sqrt(math.pi))).alias("crps"))
 
 
@@ -104,14 +111,14 @@ def _bounded(y_true: DataFrame, lower: DataFrame, upper: DataFrame) -> DataFrame
 def interval_coverage(y_true: DataFrame, lower: DataFrame, upper: DataFrame) -> DataFrame:
     """Share of actual values inside their interval, bounds included."""
     rows = _bounded(y_true, lower, upper)
-    return rows.groupBy(rows.columns[0]).agg(F.avg(A.between(F.col("l__"), F.col("u__")).cast("double")).alias("interval_coverage"))
+    return rows.groupBy(rows.columns[0]).agg(F.avg(_a().between(F.col("l__"), F.col("u__")).cast("double")).alias("interval_coverage"))
 
 
 def winkler_score(y_true: DataFrame, lower: DataFrame, upper: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Mean interval width, plus 2/alpha times what a value lies outside."""
     rows = _bounded(y_true, lower, upper)
     lo, hi = F.col("l__"), F.col("u__")
-    outside = F.when(A < lo, lo - A).when(A > hi, A - hi).otherwise(0.0)
+    outside = F.when(_a() < lo, lo - _a()).when(_a() > hi, _a() - hi).otherwise(0.0)
     return rows.groupBy(rows.columns[0]).agg(F.avg(hi - lo + 2 / alpha * outside).alias("winkler"))
 
 
