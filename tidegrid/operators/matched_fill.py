@@ -21,10 +21,11 @@ SHARD_ROWS = 4000
 SALT_ROWS = 20_000
 
 
-def standin_bound(reports: DataFrame, factor: float = 10.0) -> float:
-    """The price beyond which a figure stands in for none: `factor` times the 99th percentile of positive prices."""
+def standin_bound(reports: DataFrame, factor: float = 50.0) -> float:
+    """The price beyond which a figure stands in for none: `factor` times the 90th percentile of positive prices, which
+    holds as long as fewer than a tenth of the prices are such figures."""
     price = real(F.col("price"))
-    top = reports.where(price > 0).agg(F.percentile_approx(price, 0.99, 10_000)).first()[0]
+    top = reports.where(price > 0).agg(F.percentile_approx(price, 0.9, 10_000)).first()[0]
     return float("inf") if top is None else factor * float(top)
 
 

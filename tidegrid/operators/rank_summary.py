@@ -39,6 +39,8 @@ def _within(x: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
 def thin(code: np.ndarray, v: np.ndarray, rmin: np.ndarray, rmax: np.ndarray, n: np.ndarray, eps: float) -> np.ndarray:
     """Indexes of the tuples kept: first and last of each code, and the last of each stretch of eps*n ranks, so that
     neighbours' ranks are 2*eps*n apart at most beyond the uncertainty they had. n: of the code, for each tuple."""
+    if not len(code):
+        return np.zeros(0, np.int64)
     step = np.maximum(1, np.floor(eps * n)).astype(np.int64)
     stretch = (rmin - 1) // step
     last = np.r_[(code[1:] != code[:-1]) | (stretch[1:] != stretch[:-1]), True]

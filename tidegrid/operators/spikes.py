@@ -85,10 +85,10 @@ def _points(us: np.ndarray, price: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return u[new], p[new], number
 
 
-def listed_readings(readings: DataFrame, listings: DataFrame) -> DataFrame:
+def listed_readings(readings: DataFrame, listings: DataFrame, shard_steps: int = SHARD_STEPS) -> DataFrame:
     """Priced readings inside a listing of their source: sid, chunk, us, price, reading_id.
 
-    sid is the smallest listing_id of the source, chunk the time shard of SHARD_STEPS steps of the listing's freq."""
+    sid is the smallest listing_id of the source, chunk the time shard of shard_steps steps of the listing's freq."""
     spells = listings.groupBy("listing_id", "commodity_type").agg(F.max(freq_micros(F.col("freq"))).alias("step"), F.min(micros(F.col("active_from"))).alias("a"), F.max(micros(F.col("active_to"))).alias("b"))
     spells = spells.select(name_key(F.col("commodity_type")).alias("key"), "listing_id", "step", "a", "b").where("key is not null and a < b")
     sid = spells.groupBy("key").agg(F.min("listing_id").alias("sid"), F.coalesce(F.min("step"), F.lit(3_600_000_000)).alias("pace"))
@@ -96,7 +96,7 @@ def listed_readings(readings: DataFrame, listings: DataFrame) -> DataFrame:
     r = readings.select(name_key(F.col("commodity_type")).alias("key"), micros(F.col("time")).alias("us"), real(F.col("price")).alias("price"), F.col("reading_id").cast("bigint").alias("reading_id"))
     r = r.where("key is not null and us is not null and price is not null and reading_id is not null")
     inside = r.join(spells, "key").where((F.col("us") >= F.col("a")) & (F.col("us") < F.col("b")))
-    return inside.select("sid", F.floor(F.col("us") / (F.col("pace") * SHARD_STEPS)).cast("bigint").alias("chunk"), "us", "price", "reading_id")
+    return inside.select("sid", F.floor(F.col("us") / (F.col("pace") * shard_steps)).cast("bigint").alias("chunk"), "us", "price", "reading_id")
 
 
 def _survey(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -110,7 +110,7 @@ def _survey(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"sid": [key[0]], "chunk": [key[1]], "head": [p[:CONTEXT]], "tail": [p[-CONTEXT:]], "pairs": [len(moves)], "n": [len(some)], "vs": [v[at]], "rmin": [rank[at]], "rmax": [rank[at]], "err": [0]})
 
 
-def spike_readings(readings: DataFrame, listings: DataFrame, factor: float = 10.0, longest: int = 5, stuck: int = 12) -> DataFrame:
+def spike_readings(readings: DataFrame, listings: DataFrame, factor: float = 10.0, longest: int = 5, stuck: int = 12, shard_steps: int = SHARD_STEPS) -> DataFrame:
     """Implausible readings: reading_id, reason (`impossible`, `spike` or `stuck`, the first that holds), distinct.
 
     Only readings with an id, a price and a time inside a listing of their source count; equal (time, price) of a source
@@ -123,7 +123,7 @@ def spike_readings(readings: DataFrame, listings: DataFrame, factor: float = 10.
     """
     if longest > HALF - 1 or stuck > CONTEXT - 1:
         raise ValueError(f"longest may be {HALF - 1} and stuck {CONTEXT - 1} at most")
-    rows = listed_readings(readings, listings)
+    rows = listed_readings(readings, listings, shard_steps)
     shards = rows.groupBy("sid", "chunk").applyInPandas(_survey, f"sid bigint, chunk bigint, head array<double>, tail array<double>, pairs bigint, {rank_summary.SUMMARY}")
     moves = rank_summary.merged(shards.where("n > 0").select("sid", "n", "vs", "rmin", "rmax", "err"), ["sid"], 0.002)
     usual = rank_summary.percentiles(moves, ["sid"], [0.5]).select("sid", F.col("value").alias("usual"))

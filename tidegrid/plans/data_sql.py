@@ -39,7 +39,7 @@ FROM f"""
 
 P3_FOUND = f"""
 WITH n AS (SELECT {key()} AS k, min(commodity_type) AS name FROM commodity_types GROUP BY 1),
-bound AS (SELECT 10 * quantile_disc(price, 0.99) AS top FROM price_reports WHERE {PRICED} AND price > 0),
+bound AS (SELECT 50 * quantile_disc(price, 0.9) AS top FROM price_reports WHERE {PRICED} AND price > 0),
 r AS (SELECT report_id, sheet_id, lot_code, name, ({PRICED} AND price > 0 AND price <= top) AS priced FROM price_reports CROSS JOIN bound LEFT JOIN n ON n.k = {key("price_reports.commodity_type")}),
 lots AS (SELECT lot_code, mode(name) AS lot_name FROM r WHERE lot_code IS NOT NULL AND name IS NOT NULL GROUP BY 1),
 sheets AS (SELECT sheet_id, mode(name) AS sheet_name FROM r WHERE sheet_id IS NOT NULL AND name IS NOT NULL GROUP BY 1),
