@@ -56,7 +56,7 @@ def sample_entropy(ratio: float = 0.2, m: int = 2) -> Kernel:
         if len(x) < m + 1:
             return math.nan
         r = ratio * np.std(x)
-        b = int(_ball_counts(x[:-1], m, r).sum()) - (len(x) - m)
+        b = int(_ball_counts(x, m, r).sum()) - (len(x) - m + 1)
         a = int(_ball_counts(x, m + 1, r).sum()) - (len(x) - m)
         return math.log(b / a) if a > 0 and b > 0 else math.inf if b > 0 else math.nan
 
