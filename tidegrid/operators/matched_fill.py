@@ -1,7 +1,7 @@
 """Filling missing prices and names of reports from similar reports, by predictive mean matching.
 
 A missing name is copied from a donor report of the same lot or sheet. For prices, a linear predictor is fitted per
-commodity on what the other reports of the sheet and of the commodity's day show; donors are the reports whose predicted
+commodity on what the other reports of the sheet and of the lot show; donors are the reports whose predicted
 price is nearest, found by their rank: predictions are sorted shard by shard, ranks made global by prefix sums, and the
 ranks around a recipient's own joined by equality. The observed price of one of the nearest donors is copied, and every
 filled field is marked and names its donor.
@@ -30,10 +30,10 @@ def standin_bound(reports: DataFrame, factor: float = 50.0) -> float:
 
 
 def read_fields(reports: DataFrame, registry: DataFrame, bound: float) -> DataFrame:
-    """Reports with the fields as far as they have a value: report_id, sheet_id, lot_code, day, us, name, price."""
+    """Reports with the fields as far as they have a value: report_id, sheet_id, lot_code, price, name."""
     names = registry.select(name_key(F.col("commodity_type")).alias("key"), F.col("commodity_type").alias("name")).where("key is not null").groupBy("key").agg(F.min("name").alias("name"))
     price = real(F.col("price"))
-    rows = reports.select("report_id", "sheet_id", "lot_code", F.col("time").cast("date").alias("day"), F.when((price > 0) & (price <= F.lit(bound)), price).alias("price"), name_key(F.col("commodity_type")).alias("key"))
+    rows = reports.select("report_id", "sheet_id", "lot_code", F.when((price > 0) & (price <= F.lit(bound)), price).alias("price"), name_key(F.col("commodity_type")).alias("key"))
     return rows.where("report_id is not null").join(names, "key", "left").drop("key")
 
 
@@ -50,8 +50,8 @@ def fill_names(rows: DataFrame) -> DataFrame:
     lost = rows.where("name is null")
     lots, sheets = _shown(rows, "lot_code", "lot"), _shown(rows, "sheet_id", "sheet")
     found = lost.drop("name").join(lots, "lot_code", "left").join(sheets, "sheet_id", "left")
-    found = found.select("report_id", "sheet_id", "lot_code", "day", "price", F.coalesce("lot_name", "sheet_name").alias("name"), F.coalesce("lot_donor", "sheet_donor").alias("name_donor"))
-    kept = rows.where("name is not null").select("report_id", "sheet_id", "lot_code", "day", "price", "name", F.lit(None).cast("bigint").alias("name_donor"))
+    found = found.select("report_id", "sheet_id", "lot_code", "price", F.coalesce("lot_name", "sheet_name").alias("name"), F.coalesce("lot_donor", "sheet_donor").alias("name_donor"))
+    kept = rows.where("name is not null").select("report_id", "sheet_id", "lot_code", "price", "name", F.lit(None).cast("bigint").alias("name_donor"))
     return kept.unionByName(found.withColumn("name_donor", F.col("name_donor").cast("bigint"))).withColumn("name_filled", F.col("name_donor").isNotNull())
 
 
@@ -64,21 +64,17 @@ def _others(own: Column, has: Column, s: str, n: str) -> Column:
 def predicted(rows: DataFrame) -> DataFrame:
     """Rows (with name, lx = log price or null) with `pred`, the fitted log price.
 
-    Predictors: mean of the others on the sheet, else of the commodity's day, else the commodity; and the same for the
-    lot, else the commodity. Per commodity the two coefficients solve the normal equations of centred sums (slightly
-    ridged, so equal predictors do no harm)."""
+    Predictors: mean of the others on the sheet, and mean of the others of the lot, each the commodity's mean where there
+    are none. Per commodity the two coefficients solve the normal equations of centred sums (slightly ridged, so equal
+    predictors do no harm)."""
     has = F.col("lx").isNotNull()
     total = lambda by, tag: rows.where(has).groupBy(*by).agg(F.sum("lx").alias(f"{tag}_s"), F.count(F.lit(1)).alias(f"{tag}_n"))
-    wide = (
-        rows.join(total(["sheet_id", "name"], "h"), ["sheet_id", "name"], "left")
-        .join(total(["lot_code", "name"], "l"), ["lot_code", "name"], "left")
-        .join(total(["name", "day"], "d"), ["name", "day"], "left")
-        .join(total(["name"], "c"), ["name"], "left")
-    )
+    wide = rows.select("report_id", "sheet_id", "lot_code", "name", "lx")
+    wide = wide.join(total(["sheet_id", "name"], "h"), ["sheet_id", "name"], "left").select("report_id", "lot_code", "name", "lx", _others(F.col("lx"), has, "h_s", "h_n").alias("x"))
+    wide = wide.join(total(["lot_code", "name"], "l"), ["lot_code", "name"], "left").select("report_id", "name", "lx", "x", _others(F.col("lx"), has, "l_s", "l_n").alias("z"))
     mean = F.col("c_s") / F.col("c_n")
-    near = F.coalesce(_others(F.col("lx"), has, "h_s", "h_n"), _others(F.col("lx"), has, "d_s", "d_n"), mean)
-    lot = F.coalesce(_others(F.col("lx"), has, "l_s", "l_n"), mean)
-    wide = wide.select("report_id", "name", "lx", mean.alias("mean"), (near - mean).alias("x"), (lot - mean).alias("z"))
+    wide = wide.join(total(["name"], "c"), "name", "left")
+    wide = written(wide.select("report_id", "name", "lx", mean.alias("mean"), (F.coalesce("x", mean) - mean).alias("x"), (F.coalesce("z", mean) - mean).alias("z")))
     y = F.col("lx") - F.col("mean")
     seen = wide.where(has)
     fit = seen.groupBy("name").agg(F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("z") * F.col("z")).alias("zz"), F.sum(F.col("x") * F.col("z")).alias("xz"), F.sum(F.col("x") * y).alias("xy"), F.sum(F.col("z") * y).alias("zy"))
@@ -131,8 +127,9 @@ def filled_reports(reports: DataFrame, registry: DataFrame, pool: int = POOL) ->
     # every later step reads its rows several times, so the steps are cut into written tables
     rows = written(fill_names(read_fields(reports, registry, standin_bound(reports))))
     lx = rows.withColumn("lx", F.log("price"))
-    drawn = match_donors(written(predicted(lx.where("name is not null"))), pool)
-    out = rows.join(drawn, "report_id", "left")
+    drawn = match_donors(predicted(lx.where("name is not null")), pool)
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("donor", "bigint"), ("donor_lx", "double"), ("distance", "double"))]
+    out = rows.where("price is null").join(drawn, "report_id", "left").unionByName(rows.where("price is not null").select("*", *none))
     use = F.col("price").isNull() & F.col("donor").isNotNull()
     return out.select("report_id", F.col("name").alias("commodity_type"), "name_filled", "name_donor", F.when(use, F.exp("donor_lx")).otherwise(F.col("price")).alias("price"), use.alias("price_filled"), F.when(use, F.col("donor")).alias("price_donor"))
 
