@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_grid(spark: SparkSession, d: str) -> DataFrame:
-    out = regular_grid.grid(table(spark, d, "commodities"), table(spark, d, "listings"))
-    return out.withColumn("interpolated_price", F.round("interpolated_price", 6))
+    return regular_grid.grid(table(spark, d, "commodities"), table(spark, d, "listings"))
 
 
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +61,7 @@ def p5_trailing(spark: SparkSession, d: str) -> DataFrame:
     span = table(spark, d, "listings").agg(F.min(F.col("active_from").cast("date")), F.max(F.col("active_to").cast("date"))).first()
     rows = quotes(table(spark, d, "commodities"))
     if span[0] is None:
-        rows, span = rows.limit(0), [__import__("datetime").date(1970, 1, 1)] * 2
+        rows, span = rows.limit(0), (dt.date(1970, 1, 1),) * 2
     out = trailing_totals(rows, "key", "time", "price", span[0], span[1], (7, 30))
     return registered(out, table(spark, d, "commodity_types"))
 

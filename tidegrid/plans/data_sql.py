@@ -33,7 +33,7 @@ f AS (SELECT *,
                 nxt AS (PARTITION BY listing_id ORDER BY p ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
 SELECT listing_id, commodity_type, make_timestamp(p * step) AS period_start, price, CAST(n AS BIGINT) AS n_readings, price IS NULL AS is_missing,
   coalesce(price, prev_price, next_price) AS filled_price, prev_price, next_price, p - prev_p AS periods_since,
-  round(coalesce(price, prev_price + (next_price - prev_price) * (p - prev_p) / (next_p - prev_p)), 6) AS interpolated_price
+  coalesce(price, prev_price + (next_price - prev_price) * (p - prev_p) / (next_p - prev_p)) AS interpolated_price
 FROM f"""
 )
 

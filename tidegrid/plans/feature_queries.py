@@ -38,33 +38,33 @@ PLAIN: dict[str, tuple[f.Feature, str, int | None]] = {
     "c3": (f.c3(2), "avg(v*l2*l4)", 2),
     "cid_ce": (f.cid_ce(), "sqrt(sum(d*d))", 4),
     "cid_ce_normalized": (f.cid_ce(True), "sqrt(sum(d*d))/stddev_pop(v)", 5),
-    "count_above": (f.count_above(20.0), "100.0*count(*) FILTER (WHERE v>=20)/count(*)", 5),
+    "count_above": (f.count_above(20.0), "100.0*count(*) FILTER (WHERE v>=20)/count(*)", 9),
     "count_above_mean": (f.count_above_mean(), "count(*) FILTER (WHERE v>mean)", None),
-    "count_below": (f.count_below(20.0), "100.0*count(*) FILTER (WHERE v<=20)/count(*)", 5),
+    "count_below": (f.count_below(20.0), "100.0*count(*) FILTER (WHERE v<=20)/count(*)", 9),
     "count_below_mean": (f.count_below_mean(), "count(*) FILTER (WHERE v<mean)", None),
-    "first_location_of_maximum": (f.first_location_of_maximum(), "min(i) FILTER (WHERE v=high)/count(*)", 6),
-    "first_location_of_minimum": (f.first_location_of_minimum(), "min(i) FILTER (WHERE v=low)/count(*)", 6),
-    "last_location_of_maximum": (f.last_location_of_maximum(), "(max(i) FILTER (WHERE v=high)+1)/count(*)", 6),
-    "last_location_of_minimum": (f.last_location_of_minimum(), "(max(i) FILTER (WHERE v=low)+1)/count(*)", 6),
+    "first_location_of_maximum": (f.first_location_of_maximum(), "min(i) FILTER (WHERE v=high)/count(*)", 9),
+    "first_location_of_minimum": (f.first_location_of_minimum(), "min(i) FILTER (WHERE v=low)/count(*)", 9),
+    "last_location_of_maximum": (f.last_location_of_maximum(), "(max(i) FILTER (WHERE v=high)+1)/count(*)", 9),
+    "last_location_of_minimum": (f.last_location_of_minimum(), "(max(i) FILTER (WHERE v=low)+1)/count(*)", 9),
     "has_duplicate": (f.has_duplicate(), "count(*) > count(DISTINCT v)", None),
     "has_duplicate_max": (f.has_duplicate_max(), "count(*) FILTER (WHERE v=high) > 1", None),
     "has_duplicate_min": (f.has_duplicate_min(), "count(*) FILTER (WHERE v=low) > 1", None),
-    "index_mass_quantile": (f.index_mass_quantile(0.5), "(min(i) FILTER (WHERE mass >= 0.5*mass_all)+1)/count(*)", 6),
+    "index_mass_quantile": (f.index_mass_quantile(0.5), "(min(i) FILTER (WHERE mass >= 0.5*mass_all)+1)/count(*)", 9),
     "large_standard_deviation": (f.large_standard_deviation(), "stddev_samp(v) > 0.25*(max(v)-min(v))", None),
     "max_abs_change": (f.max_abs_change(), "max(abs(d))", 4),
-    "mean_abs_change": (f.mean_abs_change(), "avg(abs(d))", 4),
-    "mean_change": (f.mean_change(), "(arg_max(v,i)-arg_min(v,i))/(count(*)-1)", 4),
-    "mean_n_absolute_max": (f.mean_n_absolute_max(3), "avg(abs(v)) FILTER (WHERE absrank<=3)", 4),
-    "mean_second_derivative_central": (f.mean_second_derivative_central(), "(max(v) FILTER (WHERE i=n-1)-max(v) FILTER (WHERE i=n-2)-max(v) FILTER (WHERE i=1)+max(v) FILTER (WHERE i=0))/(2.0*(count(*)-2))", 5),
+    "mean_abs_change": (f.mean_abs_change(), "avg(abs(d))", 9),
+    "mean_change": (f.mean_change(), "(arg_max(v,i)-arg_min(v,i))/(count(*)-1)", 9),
+    "mean_n_absolute_max": (f.mean_n_absolute_max(3), "avg(abs(v)) FILTER (WHERE absrank<=3)", 9),
+    "mean_second_derivative_central": (f.mean_second_derivative_central(), "(max(v) FILTER (WHERE i=n-1)-max(v) FILTER (WHERE i=n-2)-max(v) FILTER (WHERE i=1)+max(v) FILTER (WHERE i=0))/(2.0*(count(*)-2))", 9),
     "number_crossings": (f.number_crossings(20.0), "count(*) FILTER (WHERE (v>20) <> (l1>20))", None),
     "number_peaks": (f.number_peaks(2), "count(*) FILTER (WHERE v>l1 AND v>l2 AND v>f1 AND v>f2)", None),
-    "percent_reoccurring_points": (f.percent_reoccurring_points(), "avg(CASE WHEN copies>1 THEN 1.0 ELSE 0.0 END)", 6),
-    "percent_reoccurring_values": (f.percent_reoccurring_values(), "avg(CASE WHEN copies>1 THEN 1.0 ELSE 0.0 END) FILTER (WHERE copy=1)", 6),
+    "percent_reoccurring_points": (f.percent_reoccurring_points(), "avg(CASE WHEN copies>1 THEN 1.0 ELSE 0.0 END)", 9),
+    "percent_reoccurring_values": (f.percent_reoccurring_values(), "avg(CASE WHEN copies>1 THEN 1.0 ELSE 0.0 END) FILTER (WHERE copy=1)", 9),
     "range_change": (f.range_change(False), "max(v)-min(v)", 4),
     "range_count": (f.range_count(10.0, 30.0), "count(*) FILTER (WHERE v>=10 AND v<30)", None),
     "range_over_mean": (f.range_over_mean(), "(max(v)-min(v))/avg(v)", 5),
-    "ratio_beyond_r_sigma": (f.ratio_beyond_r_sigma(1.0), "avg(CASE WHEN abs(v-mean)>sd0 THEN 1.0 ELSE 0.0 END)", 6),
-    "ratio_n_unique_to_length": (f.ratio_n_unique_to_length(), "count(DISTINCT v)/count(*)", 6),
+    "ratio_beyond_r_sigma": (f.ratio_beyond_r_sigma(1.0), "avg(CASE WHEN abs(v-mean)>sd0 THEN 1.0 ELSE 0.0 END)", 9),
+    "ratio_n_unique_to_length": (f.ratio_n_unique_to_length(), "count(DISTINCT v)/count(*)", 9),
     "root_mean_square": (f.root_mean_square(), "sqrt(avg(v*v))", 4),
     "sum_reoccurring_points": (f.sum_reoccurring_points(), "coalesce(sum(v) FILTER (WHERE copies>1), 0)", 4),
     "sum_reoccurring_values": (f.sum_reoccurring_values(), "coalesce(sum(v) FILTER (WHERE copies>1 AND copy=1), 0)", 4),

@@ -67,7 +67,7 @@ def _metric(f: Callable[[DataFrame, DataFrame], DataFrame], digits: int) -> Q:
 
 PAIRS = M + ", p AS (SELECT *, lag(value) OVER (PARTITION BY entity ORDER BY month) AS pred FROM m) "
 METRICS = {
-    "mae": (metrics.mae, "avg(abs(pred - value))", 2), "mfe": (metrics.mfe, "avg(pred - value)", 2), "mape": (metrics.mape, "avg(abs(value - pred) / abs(value))", 6), "mse": (metrics.mse, "avg((pred - value) * (pred - value))", -3),
+    "mae": (metrics.mae, "avg(abs(pred - value))", 8), "mfe": (metrics.mfe, "avg(pred - value)", 8), "mape": (metrics.mape, "avg(abs(value - pred) / abs(value))", 6), "mse": (metrics.mse, "avg((pred - value) * (pred - value))", -3),
     "rmse": (metrics.rmse, "sqrt(avg((pred - value) * (pred - value)))", 2), "smape": (metrics.smape, "sum(abs(pred - value)) / sum(pred + value)", 6), "smape_original": (metrics.smape_original, "100 * avg(2 * abs(pred - value) / (1e-4 + abs(value) + abs(pred)))", 4),
     "overforecast": (metrics.overforecast, "coalesce(sum(pred) FILTER (WHERE pred > value), 0)", 2), "underforecast": (metrics.underforecast, "coalesce(sum(pred) FILTER (WHERE pred < value), 0)", 2),
 }
@@ -221,13 +221,13 @@ QUERIES: dict[str, tuple[Q, str | None]] = {
     "metric_rmsse": (lambda s, d: (lambda m: rounded(metrics.rmsse(m, lagged(m), m, 12), 5))(monthly(s, d)), PAIRS + "," + SCALE + " SELECT entity, round(sqrt(s / s12), 5) AS rmsse FROM d JOIN l USING (entity)"),
     "metric_crps": (metric_crps, None),
     "metric_interval_coverage": (lambda s, d: rounded(metrics.interval_coverage(*_naive_interval(s, d)), 6), PAIRS + " SELECT entity, round(avg(CASE WHEN pred IS NULL THEN NULL WHEN value BETWEEN pred * 0.9 AND pred * 1.1 THEN 1.0 ELSE 0.0 END), 6) AS interval_coverage FROM p GROUP BY 1"),
-    "metric_winkler_score": (lambda s, d: rounded(metrics.winkler_score(*_naive_interval(s, d), 0.1), 1), PAIRS + " SELECT entity, round(avg(pred * 1.1 - pred * 0.9 + 20 * CASE WHEN value < pred * 0.9 THEN pred * 0.9 - value WHEN value > pred * 1.1 THEN value - pred * 1.1 ELSE 0 END), 1) AS winkler FROM p WHERE pred IS NOT NULL GROUP BY 1"),
+    "metric_winkler_score": (lambda s, d: rounded(metrics.winkler_score(*_naive_interval(s, d), 0.1), 6), PAIRS + " SELECT entity, round(avg(pred * 1.1 - pred * 0.9 + 20 * CASE WHEN value < pred * 0.9 THEN pred * 0.9 - value WHEN value > pred * 1.1 THEN value - pred * 1.1 ELSE 0 END), 6) AS winkler FROM p WHERE pred IS NOT NULL GROUP BY 1"),
     "score_forecast": (
-        lambda s, d: (lambda m: rounded(metrics.score_forecast(m, lagged(m), m, 12).drop("mse"), 4))(monthly(s, d)),
-        PAIRS + "," + SCALE + " SELECT entity, round(avg(abs(pred - value)), 4) AS mae, round(max(a) / max(a12), 4) AS mase, round(coalesce(sum(pred) FILTER (WHERE pred > value), 0), 4) AS overforecast, round(sqrt(avg((pred - value) * (pred - value))), 4) AS rmse, round(sqrt(max(s) / max(s12)), 4) AS rmsse, round(sum(abs(pred - value)) / sum(pred + value), 4) AS smape, round(coalesce(sum(pred) FILTER (WHERE pred < value), 0), 4) AS underforecast FROM p JOIN d USING (entity) JOIN l USING (entity) GROUP BY 1",
+        lambda s, d: (lambda m: rounded(metrics.score_forecast(m, lagged(m), m, 12).drop("mse"), 8))(monthly(s, d)),
+        PAIRS + "," + SCALE + " SELECT entity, round(avg(abs(pred - value)), 8) AS mae, round(max(a) / max(a12), 8) AS mase, round(coalesce(sum(pred) FILTER (WHERE pred > value), 0), 8) AS overforecast, round(sqrt(avg((pred - value) * (pred - value))), 8) AS rmse, round(sqrt(max(s) / max(s12)), 8) AS rmsse, round(sum(abs(pred - value)) / sum(pred + value), 8) AS smape, round(coalesce(sum(pred) FILTER (WHERE pred < value), 0), 8) AS underforecast FROM p JOIN d USING (entity) JOIN l USING (entity) GROUP BY 1",
     ),
     "score_backtest": (score_backtest, None),
-    "score_summary": (lambda s, d: (lambda m: rounded(metrics.summarize_scores(metrics.point_metrics(m, lagged(m), ["mae", "smape"])), 3))(monthly(s, d)), PAIRS + ", x AS (SELECT entity, avg(abs(pred - value)) AS mae, sum(abs(pred - value)) / sum(pred + value) AS smape FROM p GROUP BY 1) SELECT round(avg(mae), 3) AS mae, round(avg(smape), 3) AS smape FROM x"),
+    "score_summary": (lambda s, d: (lambda m: rounded(metrics.summarize_scores(metrics.point_metrics(m, lagged(m), ["mae", "smape"])), 6))(monthly(s, d)), PAIRS + ", x AS (SELECT entity, avg(abs(pred - value)) AS mae, sum(abs(pred - value)) / sum(pred + value) AS smape FROM p GROUP BY 1) SELECT round(avg(mae), 6) AS mae, round(avg(smape), 6) AS smape FROM x"),
     "eval_acf": (
         lambda s, d: rounded(evaluation.acf(monthly(s, d), 3).select("entity", "lag", "acf"), 5),
         M + f", d AS (SELECT entity, month, value - avg(value) OVER (PARTITION BY entity) AS d FROM m), l AS (SELECT *, lag(d, 1) OVER {W} AS l1, lag(d, 2) OVER {W} AS l2, lag(d, 3) OVER {W} AS l3 FROM d), a AS (SELECT entity, sum(d*d) AS t, [sum(d*d), sum(d*l1), sum(d*l2), sum(d*l3)] AS r FROM l GROUP BY 1), k AS (SELECT unnest(range(4)) AS k) SELECT entity, CAST(k AS INT) AS lag, round(r[k + 1] / t, 5) AS acf FROM a CROSS JOIN k",
@@ -235,10 +235,10 @@ QUERIES: dict[str, tuple[Q, str | None]] = {
     "eval_ljung_box": (lambda s, d: rounded(evaluation.ljung_box_test(monthly(s, d), 2), 3), M + f", d AS (SELECT entity, month, value - avg(value) OVER (PARTITION BY entity) AS d FROM m), l AS (SELECT *, lag(d, 1) OVER {W} AS l1, lag(d, 2) OVER {W} AS l2 FROM d), a AS (SELECT entity, count(*) AS n, sum(d*l1) / sum(d*d) AS r1, sum(d*l2) / sum(d*d) AS r2 FROM l GROUP BY 1) SELECT entity, 1 AS lag, round(n * (n + 2) * r1 * r1 / (n - 1), 3) AS q FROM a UNION ALL SELECT entity, 2, round(n * (n + 2) * (r1 * r1 / (n - 1) + r2 * r2 / (n - 2)), 3) FROM a"),
     "eval_normality": (lambda s, d: rounded(evaluation.normality_test(monthly(s, d)), 4), None),
     "rank_point_forecasts": (lambda s, d: (lambda m: rounded(evaluation.rank_point_forecasts(m, lagged(m), "smape"), 6))(monthly(s, d)), PAIRS + " SELECT entity, round(sum(abs(pred - value)) / sum(pred + value), 6) AS smape FROM p GROUP BY 1"),
-    "rank_residuals": (lambda s, d: (lambda m: rounded(evaluation.rank_residuals(forecasting.backtest(forecasting.naive("1mo"), m, 3, 4, 2)[1].select("entity", "month", "y_resid"), "abs_bias"), 4))(monthly(s, d)), BT + " SELECT entity, round(abs(avg(value - pred)), 4) AS abs_bias FROM r GROUP BY 1"),
+    "rank_residuals": (lambda s, d: (lambda m: rounded(evaluation.rank_residuals(forecasting.backtest(forecasting.naive("1mo"), m, 3, 4, 2)[1].select("entity", "month", "y_resid"), "abs_bias"), 8))(monthly(s, d)), BT + " SELECT entity, round(abs(avg(value - pred)), 8) AS abs_bias FROM r GROUP BY 1"),
     "rank_fva": (
-        lambda s, d: (lambda m: rounded(evaluation.rank_fva(m, lagged(m), m.withColumn("value", F.col("value") * 1.3), "mae"), 2))(monthly(s, d)),
-        PAIRS + ", x AS (SELECT entity, avg(abs(pred - value)) AS score, avg(abs(value * 1.3 - value)) AS bench FROM p GROUP BY 1) SELECT entity, round(score, 2) AS score, round(bench, 2) AS bench, round(bench - score, 2) AS uplift, bench - score > 0 AS has_uplift FROM x",
+        lambda s, d: (lambda m: rounded(evaluation.rank_fva(m, lagged(m), m.withColumn("value", F.col("value") * 1.3), "mae"), 7))(monthly(s, d)),
+        PAIRS + ", x AS (SELECT entity, avg(abs(pred - value)) AS score, avg(abs(value * 1.3 - value)) AS bench FROM p GROUP BY 1) SELECT entity, round(score, 7) AS score, round(bench, 7) AS bench, round(bench - score, 7) AS uplift, bench - score > 0 AS has_uplift FROM x",
     ),
     "fc_naive": (_forecast(lambda: forecasting.naive("1mo"), 6), M + FUTURE.format(6) + " SELECT entity, CAST(last + CAST(h AS INT) * INTERVAL 1 MONTH AS DATE) AS month, round(v, 2) AS value FROM f CROSS JOIN h"),
     "fc_snaive": (_forecast(lambda: forecasting.snaive("1mo", 12), 14), M + FUTURE.format(14) + f", k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY month DESC) AS k FROM m) SELECT f.entity, CAST(last + CAST(h AS INT) * INTERVAL 1 MONTH AS DATE) AS month, round(k.value, 2) AS value FROM f CROSS JOIN h JOIN k ON k.entity = f.entity AND k.k = 12 - (h - 1) % 12"),
