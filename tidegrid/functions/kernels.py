@@ -7,7 +7,7 @@ worker's memory. Kernels return a float, or a list of floats, and NaN or an empt
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -237,12 +237,16 @@ def cusum(threshold: float, warmup_period: int, drift: float = 0.0) -> Kernel:
 
 
 def extract_arrays(df: DataFrame, entity: str, time: str, value: str, kernels: dict[str, Kernel]) -> DataFrame:
-    """One row per entity: the entity, then an array of doubles for each kernel (single figures as arrays of one)."""
-    rows = df.select(F.col(entity).alias(entity), F.col(time).alias("t__"), F.col(value).cast("double").alias("v__")).where("v__ is not null and not isnan(v__)")
+    """One row per entity: the entity, then an array of doubles for each kernel (single figures as arrays of one).
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(["t__", "v__"])["v__"].to_numpy()
-        return pd.DataFrame({entity: [key[0]], **{k: [np.atleast_1d(np.asarray(f(x), float))] for k, f in kernels.items()}})
+    Series are gathered and sorted as arrays by Spark, so that Python gets many of them in one Arrow batch."""
+    rows = df.select(F.col(entity), F.col(time).alias("t"), F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    series = rows.groupBy(entity).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda s: s["v"]).alias("x__"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            xs = [np.asarray(x, float) for x in pdf["x__"]]
+            yield pd.DataFrame({entity: pdf[entity], **{k: [np.atleast_1d(np.asarray(f(x), float)) for x in xs] for k, f in kernels.items()}})
 
     kind = dict(rows.dtypes)[entity]
-    return rows.groupBy(entity).applyInPandas(run, ", ".join([f"`{entity}` {kind}", *[f"`{k}` array<double>" for k in kernels]]))
+    return series.mapInPandas(run, ", ".join([f"`{entity}` {kind}", *[f"`{k}` array<double>" for k in kernels]]))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import BucketedRandomProjectionLSH, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -335,6 +335,32 @@ def boosted_trees(freq: str, lags: int, max_horizons: int = 1, **params) -> Fore
     return direct(freq, lags, max_horizons, fit_step)
 
 
+#: Forecasters known by the names of boosting libraries run on the trees of pyspark.ml.
+lightgbm = xgboost = catboost = boosted_trees
+
+
+def glm(freq: str, lags: int, family: str = "poisson", max_horizons: int = 1, **params) -> Forecaster:
+    """Generalised linear model for each step: family gaussian, poisson, gamma or tweedie (log link but for gaussian).
+    Labels the family can't take are clamped: below zero to 0 (poisson, tweedie), zero and below to 1 (gamma)."""
+    if family not in ("gaussian", "poisson", "gamma", "tweedie"):
+        raise ValueError(f"unknown family {family!r}")
+
+    def fit_step(rows: DataFrame, inputs: list[str]) -> Callable[[DataFrame], DataFrame]:
+        if family in ("poisson", "tweedie"):
+            rows = rows.withColumn("y", F.greatest("y", F.lit(0.0)))
+        elif family == "gamma":
+            rows = rows.withColumn("y", F.when(F.col("y") > 0, F.col("y")).otherwise(1.0))
+        # a log link needs inputs of moderate size
+        size = max(float(rows.agg(F.max(F.abs("lag_1"))).first()[0] or 1.0), 1e-12)
+        shrunk = lambda new: new.withColumns({c: F.col(c) / size for c in inputs})
+        to = VectorAssembler(inputCols=inputs, outputCol="x__")
+        link = {"tweedie": {"variancePower": 1.5, "linkPower": 0.0}}.get(family, {"link": "identity" if family == "gaussian" else "log"})
+        model = GeneralizedLinearRegression(featuresCol="x__", labelCol="y", family=family, regParam=1e-6, maxIter=50, **(link | params)).fit(to.transform(shrunk(rows)))
+        return lambda new: model.transform(to.transform(shrunk(new)))
+
+    return direct(freq, lags, max_horizons, fit_step)
+
+
 def censored_model(freq: str, lags: int, threshold: float = 0.0, max_horizons: int = 1) -> Forecaster:
     """P(y > threshold) times the regression on values above it, plus, unless the threshold is 0, P(y <= threshold)
     times the regression on those below. The forecast has `threshold_proba` besides."""

@@ -257,6 +257,9 @@ QUERIES: dict[str, tuple[Q, str | None]] = {
     "fc_exogenous": (fc_exogenous, None),
     "fc_transformed": (fc_transformed, None),
     "fc_boosted_trees": (_forecast(lambda: forecasting.boosted_trees("1mo", 6, 2, maxIter=5), 2), None),
+    "fc_glm_poisson": (_forecast(lambda: forecasting.glm("1mo", 3, "poisson"), 1), None),
+    "fc_glm_gamma": (_forecast(lambda: forecasting.glm("1mo", 3, "gamma"), 1), None),
+    "fc_glm_tweedie": (_forecast(lambda: forecasting.glm("1mo", 3, "tweedie"), 1), None),
     "fc_knn": (_forecast(lambda: forecasting.knn("1mo", 6, 5, 3), 3), None),
     "fc_ann": (_forecast(lambda: forecasting.ann("1mo", 6), 1), None),
     "fc_censored": (_forecast(lambda: forecasting.censored_model("1mo", 3, 1e6), 1), None),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,3 +29,13 @@ def to_numpy(df: DataFrame, limit: int = 1_000_000):
     if len(rows) > limit:
         raise ValueError(f"more than {limit} rows: keep working on the DataFrame")
     return rows.to_numpy()
+
+
+def to_matrix(df: DataFrame, limit: int = 1_000_000):
+    """The value columns (all but entity and time) as a numpy matrix; NaN, infinite and missing values become their
+    column's mean. The mean is that of all rows; ValueError beyond `limit` rows."""
+    names = df.columns[2:]
+    clean = {c: F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf")), F.col(c).cast("double")) for c in names}
+    rows = df.select(*[clean[c].alias(c) for c in names])
+    means = rows.agg(*[F.avg(c).alias(c) for c in names]).first().asDict()
+    return to_numpy(rows.fillna({c: m for c, m in means.items() if m is not None}), limit)
