@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.clean import freq_micros, from_micros, micros, name_key, real
+from tidegrid.plans.session import written
 
 SHARD_PERIODS = 2048
 
@@ -58,17 +59,22 @@ def grid(readings: DataFrame, listings: DataFrame, shard_periods: int = SHARD_PE
         raise ValueError("shard_periods must be positive")
     spells = spells_of(listings)
     shard = lambda period: F.floor(period / F.lit(shard_periods)).cast("bigint")
-    best = F.max(F.when(F.col("price").isNotNull(), F.struct("us", "reading_id", "price")))
-    observed = _at_periods(readings, spells).groupBy("spell", "period").agg(best.alias("best"), F.count(F.lit(1)).alias("n"))
-    observed = observed.select("spell", "period", shard(F.col("period")).alias("shard"), F.col("best.price").alias("price"), "n")
     # every shard gets a row at its first period, so that shards without readings exist and leading gaps have a start
     first = F.explode(F.sequence(shard(F.col("lo")), shard(F.col("hi"))))
     shards = spells.select("spell", "series", "step", "lo", "hi", first.alias("shard"))
     shards = shards.select("spell", "series", "step", "shard", F.greatest("lo", F.col("shard") * shard_periods).alias("from"), F.least("hi", (F.col("shard") + 1) * shard_periods - 1).alias("to"))
-    starts = shards.select("spell", F.col("from").alias("period"), "shard", F.lit(None).cast("double").alias("price"), F.lit(0).cast("bigint").alias("n"))
-    rows = observed.unionByName(starts).groupBy("spell", "shard", "period").agg(F.max("price").alias("price"), F.max("n").alias("n"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("us", "bigint"), ("reading_id", "bigint"), ("price", "double"))]
+    starts = shards.select("spell", "shard", F.col("from").alias("period"), *none)
+    given = _at_periods(readings, spells).select("spell", shard(F.col("period")).alias("shard"), "period", "us", "reading_id", "price")
+    best = F.max(F.when(F.col("price").isNotNull(), F.struct("us", "reading_id", "price")))
+    rows = given.unionByName(starts).groupBy("spell", "shard", "period").agg(best.alias("best"), F.count("price").alias("n"))
+    # the summaries and the filling both read these rows: written once, they aren't computed twice
+    rows = written(rows.select("spell", "shard", "period", F.col("best.price").alias("price"), "n"))
     seen = F.when(F.col("price").isNotNull(), F.struct("period", "price"))
-    carry = _carried(rows.groupBy("spell", "shard").agg(F.min(seen).alias("head"), F.max(seen).alias("tail")))
+    at = F.when(F.col("price").isNotNull(), F.col("period"))
+    ends = rows.groupBy("spell", "shard").agg(F.min(at).alias("a"), F.min_by("price", at).alias("x"), F.max(at).alias("b"), F.max_by("price", at).alias("y"))
+    end = lambda p, v: F.when(F.col(p).isNotNull(), F.struct(F.col(p).alias("period"), F.col(v).alias("price")))
+    carry = _carried(ends.select("spell", "shard", end("a", "x").alias("head"), end("b", "y").alias("tail")))
     bounds = shards.join(carry, ["spell", "shard"])
     inside = Window.partitionBy("spell", "shard").orderBy("period")
     rows = rows.select("spell", "shard", "period", "price", "n", F.lead("period").over(inside).alias("follows"), F.lead(seen).over(inside).alias("ahead"))
