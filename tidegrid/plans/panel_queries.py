@@ -156,6 +156,12 @@ E = "SELECT entity, month, "
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")  # fixed values: the types that occur
 W = "(PARTITION BY entity ORDER BY month)"
 
+# Every order; movable days by their span of days in the month (isodow: 1 is Monday).
+US_HOLIDAYS = """SELECT o_orderkey, o_orderdate, CASE WHEN m = 1 AND d = 1 THEN 'new_years_day' WHEN m = 1 AND w = 1 AND d BETWEEN 15 AND 21 THEN 'martin_luther_king_jr_day' WHEN m = 2 AND w = 1 AND d BETWEEN 15 AND 21 THEN 'washingtons_birthday'
+  WHEN m = 5 AND w = 1 AND d >= 25 THEN 'memorial_day' WHEN m = 6 AND d = 19 AND y >= 2021 THEN 'juneteenth_national_independence_day' WHEN m = 7 AND d = 4 THEN 'independence_day' WHEN m = 9 AND w = 1 AND d <= 7 THEN 'labor_day'
+  WHEN m = 10 AND w = 1 AND d BETWEEN 8 AND 14 THEN 'columbus_day' WHEN m = 11 AND d = 11 THEN 'veterans_day' WHEN m = 11 AND w = 4 AND d BETWEEN 22 AND 28 THEN 'thanksgiving_day' WHEN m = 12 AND d = 25 THEN 'christmas_day' END AS "holiday__US"
+  FROM (SELECT *, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, isodow(o_orderdate) AS w FROM orders)"""
+
 QUERIES: dict[str, tuple[Q, str | None]] = {
     "prep_reindex": (lambda s, d: transforms.reindex()(bars(s, d)), B + " SELECT e.series_id, t.day, b.close FROM (SELECT DISTINCT series_id FROM b) e CROSS JOIN (SELECT DISTINCT day FROM b) t LEFT JOIN b ON b.series_id = e.series_id AND b.day = t.day"),
     "prep_coerce_dtypes": (lambda s, d: transforms.coerce_dtypes({"entity": "string", "value": "decimal(20,2)"})(monthly(s, d)).withColumn("value", F.col("value").cast("double")), M + " SELECT CAST(entity AS VARCHAR) AS entity, month, value FROM m"),
@@ -201,6 +207,7 @@ QUERIES: dict[str, tuple[Q, str | None]] = {
         lambda s, d: seasonality.add_holiday_effects(table(s, d, "orders").select("o_orderkey", "o_orderdate"), ["US"]).where("holiday__US in ('christmas_day', 'independence_day', 'new_years_day', 'veterans_day')"),
         "SELECT o_orderkey, o_orderdate, CASE WHEN month(o_orderdate) = 12 THEN 'christmas_day' WHEN month(o_orderdate) = 7 THEN 'independence_day' WHEN month(o_orderdate) = 1 THEN 'new_years_day' ELSE 'veterans_day' END AS \"holiday__US\" FROM orders WHERE (month(o_orderdate), day(o_orderdate)) IN ((12, 25), (7, 4), (1, 1), (11, 11))",
     ),
+    "cal_holiday_effects_all": (lambda s, d: seasonality.add_holiday_effects(table(s, d, "orders").select("o_orderkey", "o_orderdate"), ["US"]), US_HOLIDAYS),
     "cal_future_calendar_effects": (
         lambda s, d: seasonality.make_future_calendar_effects(monthly(s, d).withColumnRenamed("month", "start"), ["month", "year"], 14, "1mo"),
         M + FUTURE.format(14) + ", x AS (SELECT entity, CAST(last + CAST(h AS INT) * INTERVAL 1 MONTH AS DATE) AS start FROM f CROSS JOIN h) SELECT entity, start, CAST(month(start) AS VARCHAR) AS month, CAST(year(start) AS VARCHAR) AS year FROM x",
