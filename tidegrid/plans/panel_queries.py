@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tidegrid.operators import evaluation, forecasting, metrics, presentation, seasonality, splits, transforms
 from tidegrid.sources.panels import table
 
+NATIONS = range(25)  # fixed values: the nation keys
+
 Q = Callable[[SparkSession, str], DataFrame]
 
 M = """WITH m AS (SELECT c_nationkey AS entity, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value
@@ -78,6 +80,10 @@ def _wide(s: SparkSession, d: str) -> DataFrame:
     return seasonality.long_to_wide(monthly(s, d).where("entity < 4"), [0, 1, 2, 3])
 
 
+def _wide_all(s: SparkSession, d: str) -> DataFrame:
+    return seasonality.long_to_wide(monthly(s, d), NATIONS)
+
+
 def prep_one_hot(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "events").select("user_id", "ts", "event_type", "value")
     return transforms.one_hot_encode(["event_type"])(rows).drop("value")
@@ -220,6 +226,9 @@ QUERIES: dict[str, tuple[Q, str | None]] = {
     ),
     "long_to_wide": (_wide, M + " SELECT month, " + ", ".join(f'max(value) FILTER (WHERE entity = {k}) AS "{k}"' for k in range(4)) + " FROM m WHERE entity < 4 GROUP BY 1"),
     "wide_to_long": (lambda s, d: seasonality.wide_to_long(_wide(s, d), "month"), M + ", t AS (SELECT DISTINCT month FROM m WHERE entity < 4), e AS (SELECT unnest(range(4)) AS entity) SELECT CAST(e.entity AS VARCHAR) AS entity, t.month, value FROM t CROSS JOIN e LEFT JOIN m ON m.month = t.month AND m.entity = e.entity"),
+    "long_to_wide_all": (_wide_all, M + " SELECT month, " + ", ".join(f'max(value) FILTER (WHERE entity = {k}) AS "{k}"' for k in NATIONS) + " FROM m GROUP BY 1"),
+    # the entities are looked up
+    "wide_to_long_all": (lambda s, d: seasonality.wide_to_long(seasonality.long_to_wide(monthly(s, d)), "month"), M + ", t AS (SELECT DISTINCT month FROM m), e AS (SELECT DISTINCT entity FROM m) SELECT CAST(e.entity AS VARCHAR) AS entity, t.month, value FROM t CROSS JOIN e LEFT JOIN m ON m.month = t.month AND m.entity = e.entity"),
     "cv_train_test_split": (lambda s, d: splits.train_test_split(monthly(s, d), 0.25)[1], M + ", k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY month DESC) AS k, count(*) OVER (PARTITION BY entity) AS n FROM m) SELECT entity, month, value FROM k WHERE k <= n - CAST(floor(n * 0.75) AS BIGINT)"),
     "cv_expanding_window_split": (cv("expanding"), CV.format("")),
     "cv_sliding_window_split": (cv("sliding"), CV.format("AND k <= cut + 12")),
