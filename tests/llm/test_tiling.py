@@ -69,3 +69,22 @@ def test_found_passages(spark):
         assert {(r["item_id"], r["doc_id"]) for r in got} == want and len(got) == len(want)
     assert max(r["coverage"] for r in got) == 1.0
     assert tiling.leaked(d.limit(0), t).count() == 0 and tiling.leaked(d, t.limit(0)).count() == 0
+
+
+def test_pieces_in_changed_order(spark):
+    rnd = random.Random(3)
+    items = {i: passage(rnd, 80) for i in (1, 2, 3)}
+    cut = lambda ws, *at: [ws[a:b] for a, b in zip((0, *at), (*at, len(ws)), strict=True)]
+    noise = passage(rnd, 100, "qrstuvwxyz")
+    one, two = cut(items[1], 20, 45, 60), cut(items[2], 15, 35, 55)
+    docs = [
+        (100, " ".join(noise + one[3] + one[2] + one[1] + one[0] + noise)),
+        (101, " ".join([w if k % 8 != 5 else "█████" for k, w in enumerate(two[3] + two[2] + two[1] + two[0])])),
+        (102, " ".join(noise + one[2] + noise + one[0] + noise)),  # less than half of it
+        (103, " ".join(items[3])),
+    ]
+    d = spark.createDataFrame([(i, t, "clash", "en") for i, t in docs], DOCS)
+    t = spark.createDataFrame([(i, " ".join(ws), "en") for i, ws in items.items()], ITEMS)
+    got = {(r["item_id"], r["doc_id"]): r for r in tiling.leaked(d, t).collect()}
+    assert {k: r["in_order"] for k, r in got.items()} == {(1, 100): False, (2, 101): False, (3, 103): True}
+    assert got[1, 100]["coverage"] == 1.0 and got[2, 101]["coverage"] >= tiling.COVERAGE
