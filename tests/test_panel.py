@@ -132,3 +132,18 @@ def test_impute_and_reindex(spark):
     got = {(r["id"], r["t"]): r["x"] for r in transforms.impute("linear")(df).collect()}
     assert got == {("a", 1): 1.0, ("a", 2): 2.0, ("a", 3): 3.0, ("a", 4): 4.0, ("b", 2): None}
     assert transforms.reindex()(df).count() == 8 and transforms.trim("both")(df.where(F.col("x").isNotNull() | (F.col("id") == "b"))).count() == 1
+
+
+def test_ann_forecasts_every_entity(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"e{k:02d}", i, float(20 * (k % 6) + 8 * np.sin(i / 3 + k) + rng.normal())) for k in range(40) for i in range(40)]
+    rows += [("jump", i, float(i % 5 + (1e4 if i >= 36 else 0))) for i in range(40)] + [("short", i, 1.0) for i in range(3)]
+    lags, y = 4, spark.createDataFrame(rows, "id string, t int, x double").cache()
+    read = lambda f, fh: {(r["id"], r["t"]): r["x"] for r in f(y, None).forecast(fh, None).collect()}
+    got, exact = read(fc.ann("1i", lags, width=5.0), 1), read(fc.knn("1i", lags, 1), 1)
+    assert set(got) == set(exact) and ("jump", 40) in got and len(got) == 41
+    assert np.mean([got[k] == exact[k] for k in exact]) >= 0.9
+    got, exact = read(fc.ann("1i", lags, max_horizons=3), 3), read(fc.knn("1i", lags, 1, 3), 3)
+    assert set(got) == set(exact) and len(got) == 123 and np.mean([got[k] == exact[k] for k in exact]) >= 0.9
+    with pytest.raises(ValueError):
+        fc.ann("1i", lags)(y, None).forecast(2, None)

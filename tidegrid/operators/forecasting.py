@@ -390,52 +390,71 @@ def zero_inflated_model(freq: str, lags: int, max_horizons: int = 1) -> Forecast
     return censored_model(freq, lags, 0.0, max_horizons)
 
 
+def _stretches(y: DataFrame, lags: int, max_horizons: int) -> DataFrame:
+    """Training stretches: x (array of `lags` values, the last first) and next (array of the max_horizons values behind)."""
+    rows = design(y, lags, (), max_horizons)
+    ahead = [F.col(f"lag_{max_horizons - h}") if h < max_horizons else F.col("y") for h in range(1, max_horizons + 1)]
+    return rows.select(F.array(*[f"lag_{j}" for j in range(max_horizons, max_horizons + lags)]).alias("x"), F.array(*ahead).alias("next"))
+
+
+def _now(y: DataFrame, lags: int) -> DataFrame:
+    """entity, x: the last stretch of each entity that is long enough."""
+    e = PanelSpec.of(y).entity
+    return _last_rows(y, lags).select(e, F.array(*[f"lag_{j}" for j in range(1, lags + 1)]).alias("x"))
+
+
+def _nearest(now: DataFrame, train: DataFrame, k: int, block: int) -> DataFrame | None:
+    """entity, d (squared distance), next: the k training stretches nearest to each query, and more; None without queries.
+
+    Queries go to the workers in blocks and meet all training rows, each partition keeping its k nearest per query."""
+    entity = now.columns[0]
+    kind = dict(now.dtypes)[entity]
+
+    def nearest(queries: pd.DataFrame) -> DataFrame:
+        q, names = np.stack([np.array(x, float) for x in queries.iloc[:, 1]]), queries.iloc[:, 0].to_numpy()
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best_d = np.full((len(q), k), np.inf)
+            best_y: np.ndarray | None = None
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                x, nxt = np.stack(pdf["x"].to_list()), np.stack(pdf["next"].to_list())
+                if best_y is None:
+                    best_y = np.full((len(q), k, nxt.shape[1]), np.nan)
+                size = max(16, 4_000_000 // max(1, len(q) * q.shape[1]))
+                for a in range(0, len(x), size):
+                    some, after = x[a : a + size], nxt[a : a + size]
+                    d = ((q[:, None, :] - some[None]) ** 2).sum(2)
+                    all_d = np.c_[best_d, d]
+                    all_y = np.concatenate([best_y, np.broadcast_to(after, (len(q), *after.shape))], 1)
+                    keep = np.argsort(all_d, 1, kind="stable")[:, :k]
+                    best_d, best_y = np.take_along_axis(all_d, keep, 1), np.take_along_axis(all_y, keep[:, :, None], 1)
+            i, j = np.nonzero(np.isfinite(best_d))
+            yield pd.DataFrame({entity: names[i], "d": best_d[i, j], "next": list(best_y[i, j]) if len(i) else []})
+
+        return train.mapInPandas(run, f"`{entity}` {kind}, d double, next array<double>")
+
+    found: DataFrame | None = None
+    for queries in blocks_of(now, block):
+        one = nearest(queries)
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def knn(freq: str, lags: int, k: int = 5, max_horizons: int = 1, block: int = 2000) -> Forecaster:
     """Mean of what followed the k training stretches nearest (Euclidean) to an entity's last values.
 
-    The entities' last stretches are the stated queries; they go to the workers in blocks and meet all training rows,
-    each partition keeping its k nearest per query, of which one aggregate keeps the k nearest of all."""
+    The entities' last stretches are the stated queries of an exact search, of which one aggregate keeps the k nearest."""
 
     def fit(y: DataFrame, X: DataFrame | None = None) -> Model:
         p = PanelSpec.of(y)
-        inputs = [f"lag_{j}" for j in range(max_horizons, max_horizons + lags)]
-        rows = design(y, lags, (), max_horizons)
-        ahead = [F.col(f"lag_{max_horizons - h}") if h < max_horizons else F.col("y") for h in range(1, max_horizons + 1)]
-        train = rows.select(F.array(*inputs).alias("x"), F.array(*ahead).alias("next"))
-        now = _last_rows(y, lags)
-        kind = dict(now.dtypes)[p.entity]
-
-        def nearest(queries: pd.DataFrame) -> DataFrame:
-            q, names = queries.iloc[:, 1:].to_numpy(float), queries.iloc[:, 0].to_numpy()
-
-            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                best_d = np.full((len(q), k), np.inf)
-                best_y = np.full((len(q), k, max_horizons), np.nan)
-                for pdf in batches:
-                    if not len(pdf):
-                        continue
-                    x, nxt = np.stack(pdf["x"].to_list()), np.stack(pdf["next"].to_list())
-                    size = max(16, 4_000_000 // max(1, len(q) * lags))
-                    for a in range(0, len(x), size):
-                        some, after = x[a : a + size], nxt[a : a + size]
-                        d = ((q[:, None, :] - some[None]) ** 2).sum(2)
-                        all_d = np.c_[best_d, d]
-                        all_y = np.concatenate([best_y, np.broadcast_to(after, (len(q), *after.shape))], 1)
-                        keep = np.argsort(all_d, 1, kind="stable")[:, :k]
-                        best_d, best_y = np.take_along_axis(all_d, keep, 1), np.take_along_axis(all_y, keep[:, :, None], 1)
-                ok = np.isfinite(best_d)
-                i, j = np.nonzero(ok)
-                yield pd.DataFrame({p.entity: names[i], "d": best_d[i, j], "next": list(best_y[i, j])})
-
-            return train.mapInPandas(run, f"`{p.entity}` {kind}, d double, next array<double>")
+        train, now = _stretches(y, lags, max_horizons), _now(y, lags)
 
         def forecast(fh: int, _: DataFrame | None = None) -> DataFrame:
             if fh > max_horizons:
                 raise ValueError(f"fh {fh} exceeds max_horizons {max_horizons}")
-            found: DataFrame | None = None
-            for queries in blocks_of(now, block):
-                one = nearest(queries)
-                found = one if found is None else found.unionByName(one)
+            found = _nearest(now, train, k, block)
             if found is None:
                 return y.select(p.entity, p.time, F.col(p.values[0]).cast("double").alias(p.values[0])).limit(0)
             w = Window.partitionBy(p.entity).orderBy("d", "next")
@@ -460,25 +479,29 @@ def blocks_of(df: DataFrame, size: int) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(held, columns=df.columns)
 
 
-def ann(freq: str, lags: int, tables: int = 4, width: float | None = None) -> Forecaster:
-    """One step ahead from the nearest training stretch found by random projections (buckets met by equality)."""
+def ann(freq: str, lags: int, tables: int = 4, width: float | None = None, max_horizons: int = 1, block: int = 2000) -> Forecaster:
+    """What followed the nearest training stretch found by random projections (buckets met by equality). Entities that
+    share a bucket with no stretch take the exact search of `knn`, so every one that is long enough is forecast."""
 
     def fit(y: DataFrame, X: DataFrame | None = None) -> Model:
         p = PanelSpec.of(y)
-        inputs = [f"lag_{k}" for k in range(1, lags + 1)]
-        to = VectorAssembler(inputCols=inputs, outputCol="x__")
-        train = to.transform(_direct_rows(y, lags, 1)).withColumn("i__", F.monotonically_increasing_id())
-        size = width or max(float(train.agg(F.stddev_pop("y")).first()[0] or 1.0), 1e-6)
+        apart = VectorAssembler(inputCols=[f"x{i}__" for i in range(lags)], outputCol="x__")
+        to = lambda df: apart.transform(df.select("*", *[F.col("x")[i].alias(f"x{i}__") for i in range(lags)]))
+        stretches, now = _stretches(y, lags, max_horizons), _now(y, lags)
+        train = to(stretches)
+        size = width or max(float(train.agg(F.stddev_pop(F.element_at("next", -1))).first()[0] or 1.0), 1e-6)
         model = BucketedRandomProjectionLSH(inputCol="x__", outputCol="h__", numHashTables=tables, bucketLength=size, seed=1).fit(train)
-        now = to.transform(_last_rows(y, lags))
 
         def forecast(fh: int, _: DataFrame | None = None) -> DataFrame:
-            if fh != 1:
-                raise ValueError("this forecaster looks one step ahead")
-            pairs = model.approxSimilarityJoin(now, train, float("inf"), "d__")
-            near = pairs.groupBy(F.col(f"datasetA.{p.entity}").alias(p.entity)).agg(F.min_by(F.col("datasetB.y"), F.struct("d__", F.col("datasetB.y"))).alias("v__"))
-            path = near.select(p.entity, F.array("v__").alias("path__"))
-            return _with_steps(y, freq, 1, path)
+            if fh > max_horizons:
+                raise ValueError(f"fh {fh} exceeds max_horizons {max_horizons}")
+            pairs = model.approxSimilarityJoin(to(now), train, float("inf"), "d__")
+            first = lambda d, v: F.min_by(v, F.struct(d, v)).alias("path__")
+            near = written(pairs.groupBy(F.col(f"datasetA.{p.entity}").alias(p.entity)).agg(first(F.col("d__"), F.col("datasetB.next"))))
+            rest = _nearest(now.join(near, p.entity, "left_anti"), stretches, 1, block)
+            if rest is not None:
+                near = near.unionByName(rest.groupBy(p.entity).agg(first(F.col("d"), F.col("next"))))
+            return _with_steps(y, freq, fh, near)
 
         return Model(forecast)
 
