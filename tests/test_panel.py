@@ -147,3 +147,37 @@ def test_ann_forecasts_every_entity(spark):
     assert set(got) == set(exact) and len(got) == 123 and np.mean([got[k] == exact[k] for k in exact]) >= 0.9
     with pytest.raises(ValueError):
         fc.ann("1i", lags)(y, None).forecast(2, None)
+
+
+@pytest.fixture(scope="module")
+def driven(spark):
+    """A target that follows a feature known ahead and nothing else, so that lags tell nothing of it."""
+    rng = np.random.default_rng(9)
+    z = {(e, i): float(rng.integers(0, 2)) for e in "ab" for i in range(122)}
+    y = spark.createDataFrame([(e, i, 10 + 40 * v + float(rng.normal())) for (e, i), v in z.items() if i < 120], "id string, t int, x double").cache()
+    X = spark.createDataFrame([(e, i, 100 * v) for (e, i), v in z.items()], "id string, t int, z double").cache()
+    return y, X, {k: 10 + 40 * v for k, v in z.items()}
+
+
+@pytest.mark.parametrize("make", [lambda: fc.boosted_trees("1i", 2, 2, maxIter=5), lambda: fc.glm("1i", 2, "gaussian", 2), lambda: fc.glm("1i", 2, "gamma", 2), lambda: fc.censored_model("1i", 2, 30.0, 2), lambda: fc.knn("1i", 2, 3, 2), lambda: fc.ann("1i", 2, max_horizons=2)])
+def test_features_known_ahead_are_used(driven, make):
+    y, X, want = driven
+    model = make()(y, X)
+    for fh in (1, 2):
+        got = {(r["id"], r["t"]): r["x"] for r in model.forecast(fh, X).collect()}
+        assert len(got) == 2 * fh and all(abs(v - want[k]) < 8 for k, v in got.items())
+    with pytest.raises(ValueError):
+        model.forecast(1, None)
+
+
+def test_settings_are_scored_with_features(driven):
+    y, X, _ = driven
+    make = fc.glm("1i", 2, "gaussian")
+    assert fc.cv_error(make, y, 1, 2, X) < 5
+    seen = []
+
+    def spy(freq, lags):
+        return lambda y, X: (seen.append(X), fc.linear_model(freq, lags)(y, X))[1]
+
+    fc.auto(spy, "1i", [1], 1, 1)(y, X)
+    assert len(seen) == 2 and all(x is X for x in seen)

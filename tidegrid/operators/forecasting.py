@@ -208,6 +208,11 @@ def _future_features(y: DataFrame, X_future: DataFrame | None, names: Sequence[s
     return times.join(X_future, on, "left")
 
 
+def _known(future: DataFrame, names: Sequence[str]) -> list[Column]:
+    """Features of future times as doubles, 0 where X_future has none."""
+    return [F.coalesce(future[f].cast("double"), F.lit(0.0)).alias(f) for f in names]
+
+
 def autoregressive(freq: str, lags: int, how: Linear = Linear(), strategy: str = "recursive", max_horizons: int = 12) -> Forecaster:
     """Linear model of `lags` lags and features. recursive: one step ahead, folded; direct: a model for each of
     max_horizons steps (their rows are those with all lags+max_horizons-1 lags); ensemble: the mean of both."""
@@ -292,10 +297,10 @@ def _last_rows(y: DataFrame, lags: int) -> DataFrame:
     return last.select(p.entity, *[F.element_at("last__", -k).alias(f"lag_{k}") for k in range(1, lags + 1)])
 
 
-def _direct_rows(y: DataFrame, lags: int, h: int) -> DataFrame:
-    """Training rows of step h: y, lag_1..lag_{lags}, where lag_1 is the value h rows before."""
-    rows = design(y, lags, (), h)
-    return rows.select("y", *[F.col(f"lag_{k + h - 1}").alias(f"lag_{k}") for k in range(1, lags + 1)])
+def _direct_rows(y: DataFrame, lags: int, h: int, names: Sequence[str] = ()) -> DataFrame:
+    """Training rows of step h: y, lag_1..lag_{lags}, where lag_1 is the value h rows before, features of y's time."""
+    rows = design(y, lags, names, h)
+    return rows.select("y", *[F.col(f"lag_{k + h - 1}").alias(f"lag_{k}") for k in range(1, lags + 1)], *names)
 
 
 StepFit = Callable[[DataFrame, list[str]], Callable[[DataFrame], DataFrame]]
@@ -306,15 +311,18 @@ def direct(freq: str, lags: int, max_horizons: int, fit_step: StepFit, extra: Se
 
     def fit(y: DataFrame, X: DataFrame | None = None) -> Model:
         p = PanelSpec.of(y)
-        inputs = [f"lag_{k}" for k in range(1, lags + 1)]
-        steps = {h: fit_step(_direct_rows(y, lags, h), inputs) for h in range(1, max_horizons + 1)}
-        now = _last_rows(y, lags)
+        rows, names = joined_features(y, X)
+        inputs = [*[f"lag_{k}" for k in range(1, lags + 1)], *names]
+        steps = {h: fit_step(_direct_rows(rows, lags, h, names), inputs) for h in range(1, max_horizons + 1)}
+        last = _last_rows(y, lags)
 
-        def forecast(fh: int, _: DataFrame | None = None) -> DataFrame:
+        def forecast(fh: int, X_future: DataFrame | None = None) -> DataFrame:
             if fh > max_horizons:
                 raise ValueError(f"fh {fh} exceeds max_horizons {max_horizons}")
+            future = _future_features(y, X_future, names, fh, freq)
             told: DataFrame | None = None
             for h in range(1, fh + 1):
+                now = last.join(future.where(F.col("step") == h).select(p.entity, *_known(future, names)), p.entity) if names else last
                 one = steps[h](now).select(p.entity, F.lit(h).alias("step"), F.col("prediction").alias(p.values[0]), *extra)
                 told = one if told is None else told.unionByName(one)
             return future_of(y.select(p.entity, p.time), fh, freq).join(told, [p.entity, "step"]).select(p.entity, p.time, p.values[0], *extra)
@@ -350,9 +358,11 @@ def glm(freq: str, lags: int, family: str = "poisson", max_horizons: int = 1, **
             rows = rows.withColumn("y", F.greatest("y", F.lit(0.0)))
         elif family == "gamma":
             rows = rows.withColumn("y", F.when(F.col("y") > 0, F.col("y")).otherwise(1.0))
-        # a log link needs inputs of moderate size
-        size = max(float(rows.agg(F.max(F.abs("lag_1"))).first()[0] or 1.0), 1e-12)
-        shrunk = lambda new: new.withColumns({c: F.col(c) / size for c in inputs})
+        # a log link needs inputs of moderate size: lags by that of lag_1, features each by its own
+        own = inputs[lags:]
+        most = rows.agg(*[F.max(F.abs(c)).alias(c) for c in ("lag_1", *own)]).first()
+        size = {c: max(float(most[c if c in own else "lag_1"] or 1.0), 1e-12) for c in inputs}
+        shrunk = lambda new: new.withColumns({c: F.col(c) / size[c] for c in inputs})
         to = VectorAssembler(inputCols=inputs, outputCol="x__")
         link = {"tweedie": {"variancePower": 1.5, "linkPower": 0.0}}.get(family, {"link": "identity" if family == "gaussian" else "log"})
         model = GeneralizedLinearRegression(featuresCol="x__", labelCol="y", family=family, regParam=1e-6, maxIter=50, **(link | params)).fit(to.transform(shrunk(rows)))
@@ -390,17 +400,37 @@ def zero_inflated_model(freq: str, lags: int, max_horizons: int = 1) -> Forecast
     return censored_model(freq, lags, 0.0, max_horizons)
 
 
-def _stretches(y: DataFrame, lags: int, max_horizons: int) -> DataFrame:
-    """Training stretches: x (array of `lags` values, the last first) and next (array of the max_horizons values behind)."""
-    rows = design(y, lags, (), max_horizons)
+def _stretches(y: DataFrame, lags: int, max_horizons: int, names: Sequence[str] = ()) -> DataFrame:
+    """Training stretches: x (array of `lags` values, the last first), next (array of the max_horizons values behind)
+    and known (array of the features at the times of `next`, step by step)."""
+    p = PanelSpec.of(y)
+    w = Window.partitionBy(p.entity).orderBy(p.time)
+    each = {f"known_{h}_{i}": F.lag(f, max_horizons - h).over(w) for h in range(1, max_horizons + 1) for i, f in enumerate(names)}
+    rows = design(y.withColumns(each) if each else y, lags, list(each), max_horizons)
     ahead = [F.col(f"lag_{max_horizons - h}") if h < max_horizons else F.col("y") for h in range(1, max_horizons + 1)]
-    return rows.select(F.array(*[f"lag_{j}" for j in range(max_horizons, max_horizons + lags)]).alias("x"), F.array(*ahead).alias("next"))
+    return rows.select(F.array(*[f"lag_{j}" for j in range(max_horizons, max_horizons + lags)]).alias("x"), F.array(*ahead).alias("next"), F.array(*each).cast("array<double>").alias("known"))
 
 
-def _now(y: DataFrame, lags: int) -> DataFrame:
-    """entity, x: the last stretch of each entity that is long enough."""
-    e = PanelSpec.of(y).entity
-    return _last_rows(y, lags).select(e, F.array(*[f"lag_{j}" for j in range(1, lags + 1)]).alias("x"))
+def _meeting(y: DataFrame, X: DataFrame | None, freq: str, lags: int, max_horizons: int) -> Callable[[int, DataFrame | None], tuple[DataFrame, DataFrame]]:
+    """(fh, X_future) -> (entity, x) of the last stretches and (x, next) of the training ones, where x holds the lags and
+    the features of the fh steps ahead, all on the scale they come in."""
+    p = PanelSpec.of(y)
+    rows, names = joined_features(y, X)
+    train, last = _stretches(rows, lags, max_horizons, names), _last_rows(y, lags)
+    now = last.select(p.entity, F.array(*[f"lag_{j}" for j in range(1, lags + 1)]).alias("x"))
+
+    def meet(fh: int, X_future: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        if fh > max_horizons:
+            raise ValueError(f"fh {fh} exceeds max_horizons {max_horizons}")
+        if not names:
+            return now, train.select("x", "next")
+        future = _future_features(y, X_future, names, fh, freq)
+        steps = F.array_sort(F.collect_list(F.struct("step", F.array(*_known(future, names)).alias("f"))))
+        known = future.groupBy(p.entity).agg(F.flatten(F.transform(steps, lambda s: s["f"])).alias("known"))
+        longer = F.concat("x", F.slice("known", 1, fh * len(names))).alias("x")
+        return now.join(known, p.entity).select(p.entity, longer), train.select(longer, "next")
+
+    return meet
 
 
 def _nearest(now: DataFrame, train: DataFrame, k: int, block: int) -> DataFrame | None:
@@ -449,12 +479,10 @@ def knn(freq: str, lags: int, k: int = 5, max_horizons: int = 1, block: int = 20
 
     def fit(y: DataFrame, X: DataFrame | None = None) -> Model:
         p = PanelSpec.of(y)
-        train, now = _stretches(y, lags, max_horizons), _now(y, lags)
+        meet = _meeting(y, X, freq, lags, max_horizons)
 
-        def forecast(fh: int, _: DataFrame | None = None) -> DataFrame:
-            if fh > max_horizons:
-                raise ValueError(f"fh {fh} exceeds max_horizons {max_horizons}")
-            found = _nearest(now, train, k, block)
+        def forecast(fh: int, X_future: DataFrame | None = None) -> DataFrame:
+            found = _nearest(*meet(fh, X_future), k, block)
             if found is None:
                 return y.select(p.entity, p.time, F.col(p.values[0]).cast("double").alias(p.values[0])).limit(0)
             w = Window.partitionBy(p.entity).orderBy("d", "next")
@@ -485,16 +513,16 @@ def ann(freq: str, lags: int, tables: int = 4, width: float | None = None, max_h
 
     def fit(y: DataFrame, X: DataFrame | None = None) -> Model:
         p = PanelSpec.of(y)
-        apart = VectorAssembler(inputCols=[f"x{i}__" for i in range(lags)], outputCol="x__")
-        to = lambda df: apart.transform(df.select("*", *[F.col("x")[i].alias(f"x{i}__") for i in range(lags)]))
-        stretches, now = _stretches(y, lags, max_horizons), _now(y, lags)
-        train = to(stretches)
-        size = width or max(float(train.agg(F.stddev_pop(F.element_at("next", -1))).first()[0] or 1.0), 1e-6)
-        model = BucketedRandomProjectionLSH(inputCol="x__", outputCol="h__", numHashTables=tables, bucketLength=size, seed=1).fit(train)
-
-        def forecast(fh: int, _: DataFrame | None = None) -> DataFrame:
-            if fh > max_horizons:
-                raise ValueError(f"fh {fh} exceeds max_horizons {max_horizons}")
+        meet = _meeting(y, X, freq, lags, max_horizons)
+
+        def forecast(fh: int, X_future: DataFrame | None = None) -> DataFrame:
+            now, stretches = meet(fh, X_future)
+            inputs = [f"x{i}__" for i in range(lags + fh * len(joined_features(y, X)[1]))]
+            apart = VectorAssembler(inputCols=inputs, outputCol="x__")
+            to = lambda df: apart.transform(df.select("*", *[F.col("x")[i].alias(c) for i, c in enumerate(inputs)]))
+            train = to(stretches)
+            size = width or max(float(train.agg(F.stddev_pop(F.element_at("next", -1))).first()[0] or 1.0), 1e-6)
+            model = BucketedRandomProjectionLSH(inputCol="x__", outputCol="h__", numHashTables=tables, bucketLength=size, seed=1).fit(train)
             pairs = model.approxSimilarityJoin(to(now), train, float("inf"), "d__")
             first = lambda d, v: F.min_by(v, F.struct(d, v)).alias("path__")
             near = written(pairs.groupBy(F.col(f"datasetA.{p.entity}").alias(p.entity)).agg(first(F.col("d__"), F.col("datasetB.next"))))
@@ -568,9 +596,9 @@ def conformalize(y_pred: DataFrame, y_preds: DataFrame, y_resid: DataFrame, alph
     return enbpi(both, y_resid, alphas).withColumn("quantile", F.round(F.col("quantile") * 100).cast("smallint"))
 
 
-def cv_error(forecaster: Forecaster, y: DataFrame, fh: int, n_splits: int = 3) -> float:
+def cv_error(forecaster: Forecaster, y: DataFrame, fh: int, n_splits: int = 3, X: DataFrame | None = None) -> float:
     """Mean over entities of the mean absolute error in backtests."""
-    _, resid = backtest(forecaster, y, fh, n_splits, fh)
+    _, resid = backtest(forecaster, y, fh, n_splits, fh, X)
     e = PanelSpec.of(y).entity
     score = resid.groupBy(e).agg(F.avg(F.abs("y_resid")).alias("m")).agg(F.avg("m")).first()[0]
     return float("inf") if score is None else float(score)
@@ -586,7 +614,7 @@ def auto(make: Callable[..., Forecaster], freq: str, lags: Sequence[int], fh: in
         for n in lags:
             for params in grid:
                 try:
-                    scored.append((cv_error(make(freq, n, **params), y.select(p.entity, p.time, p.values[0]), fh, n_splits), n, params))
+                    scored.append((cv_error(make(freq, n, **params), y.select(p.entity, p.time, p.values[0]), fh, n_splits, X), n, params))
                 except (ValueError, np.linalg.LinAlgError):
                     continue
         if not scored:
