@@ -12,8 +12,13 @@ BLANKS = r"[\s\u0085\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufef
 
 
 def name_key(name: Column) -> Column:
-    """One spelling for all spellings of a name: runs of white space become one blank, none at the ends, lower case."""
-    return F.lower(F.trim(F.regexp_replace(name, BLANKS, " ")))
+    """One spelling for all spellings of a name: runs of white space become one blank, none at the ends, lower case.
+
+    ASCII names whose only white space is single blanks inside, the usual ones, are spared the regular expression."""
+    usual = (F.octet_length(name) == F.length(name)) & ~F.startswith(name, F.lit(" ")) & ~F.endswith(name, F.lit(" "))
+    for blank in ("  ", "\t", "\n", "\x0b", "\f", "\r"):
+        usual = usual & ~F.contains(name, F.lit(blank))
+    return F.lower(F.when(usual, name).otherwise(F.trim(F.regexp_replace(name, BLANKS, " "))))
 
 
 def real(value: Column) -> Column:
