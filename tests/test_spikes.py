@@ -41,9 +41,9 @@ def test_planted_cases_in_any_shards(spark):
     want = {100, *range(200, 205), 505, *range(450, 463), 100_010, *range(100_064, 100_067)}
     copy = [(" a", T0 + dt.timedelta(minutes=1001), float(a[100]), 7_000_000, "", ""), ("A", T0 + dt.timedelta(minutes=1001), float(a[100]), 100, "", ""), ("A", T0 - dt.timedelta(days=1), 9e9, 7_000_001, "", "")]
     df, lists = frame(spark, {"A": a, "B": b, "S": sticky}, copy), listing(spark, ["A", "B", "S"])
-    for steps in (7, 64, 100_000):
-        got = {r["reading_id"]: r["reason"] for r in spikes.spike_readings(df, lists, shard_steps=steps).collect()}
-        assert set(got) == want | {7_000_000}, steps
+    for size in (7, 64, 100_000):
+        got = {r["reading_id"]: r["reason"] for r in spikes.spike_readings(df, lists, shard_rows=size).collect()}
+        assert set(got) == want | {7_000_000}, size
         assert got[505] == got[100_010] == "impossible" and got[450] == "stuck" and got[100] == "spike"
 
 
@@ -54,9 +54,29 @@ def test_shards_equal_the_whole_series(spark):
         x[k : k + rng.integers(1, 9)] *= rng.choice([0.3, 0.93, 1.06, 2.5])
     moves = np.abs(np.diff(np.log(x)))
     spike, _ = spikes.judge(x, float(np.median(moves[moves > 0])), True)
-    got = {r["reading_id"] for r in spikes.spike_readings(frame(spark, {"A": x}), listing(spark, ["A"]), shard_steps=13).where("reason = 'spike'").collect()}
-    assert len(got ^ set(np.flatnonzero(spike))) <= 1  # the median over shards leaves out the moves between shards
-
+    got = {r["reading_id"] for r in spikes.spike_readings(frame(spark, {"A": x}), listing(spark, ["A"]), shard_rows=13).where("reason = 'spike'").collect()}
+    assert len(got ^ set(np.flatnonzero(spike))) <= 1  # the median over shards is that of a histogram
+
+
+def test_shards_are_bounded(spark):
+    """A source whose readings crowd into one hour of sixty days is cut by rows, not by time."""
+    rows = [("A", T0 + dt.timedelta(seconds=k), 1.0, k, "", "") for k in range(3000)] + [("A", T0 + dt.timedelta(days=59), 1.0, 9000, "", ""), ("B", T0, 1.0, 9001, "", "")]
+    listed = spikes.listed_readings(spark.createDataFrame(rows, READINGS), listing(spark, ["A", "B"]))
+    sizes = [r["count"] for r in spikes._cut(listed, spikes._widths(listed, 100)).groupBy("sid", "chunk").count().collect()]
+    assert sum(sizes) == 3002 and max(sizes) <= 200
+
+
+def test_edges_at_scale_one_bound_a_spike():
+    """A lasting move, a slow drift and an excursion of six points are no spikes; one next to a lasting move is."""
+    u, flat = 0.001, np.zeros(60)
+    wobble = np.where(np.arange(60) % 2, u, 0.0)
+    for what, change, want in (
+        ("move", np.where(np.arange(60) >= 30, 0.5, 0.0), []), ("drift", np.linspace(0, 0.06, 60), []), ("six", np.where((np.arange(60) >= 20) & (np.arange(60) < 26), 0.5, 0.0), []),
+        ("five", np.where((np.arange(60) >= 20) & (np.arange(60) < 25), -0.5, 0.0), [*range(20, 25)]), ("varied", flat + np.isin(np.arange(60), [20, 22]) * 0.3 + (np.arange(60) == 21) * 0.1, [20, 21, 22]),
+        ("near a move", np.where(np.arange(60) >= 23, 0.2, 0.0) + (np.arange(60) == 21) * 0.5, [21]), ("two", flat + (np.arange(60) == 20) * 0.3 - (np.arange(60) == 22) * 0.3, [20, 22]),
+    ):
+        spike, _ = spikes.judge(np.exp(wobble + change), u, True)
+        assert np.flatnonzero(spike).tolist() == want, what
 
 def test_odd_input(spark):
     lists = listing(spark, ["A"])
