@@ -2,9 +2,10 @@
 
 A missing name is copied from a donor report of the same lot or sheet. For prices, a linear predictor is fitted per
 commodity on what the other reports of the sheet and of the lot show; donors are the reports whose predicted
-price is nearest, found by their rank: predictions are sorted shard by shard, ranks made global by prefix sums, and the
-ranks around a recipient's own joined by equality. The observed price of one of the nearest donors is copied, and every
-filled field is marked and names its donor.
+price is nearest, found by their rank: rows are range-partitioned by (name, prediction, report), so that a shard ends
+where a quantile of its rows does, ranks inside a shard are made global by prefix sums, and the ranks around a
+recipient's own joined by equality. The observed price of one of the nearest donors is copied, and every filled field is
+marked and names its donor.
 """
 
 from __future__ import annotations
@@ -16,14 +17,14 @@ from tidegrid.functions.clean import name_key, real
 from tidegrid.plans.session import written
 
 POOL = 5
-#: Rows of a commodity for one shard of the sorted predictions, on average; shards of more equal predictions are salted.
-SHARD_ROWS = 4000
-SALT_ROWS = 20_000
+#: Rows for one shard of the sorted predictions, on average.
+SHARD_ROWS = 250_000
 
 
 def standin_bound(reports: DataFrame, factor: float = 50.0) -> float:
-    """The price beyond which a figure stands in for none: `factor` times the 90th percentile of positive prices, which
-    holds as long as fewer than a tenth of the prices are such figures."""
+    """The price beyond which a figure stands in for none, one for all commodities, as such a figure lies far beyond every
+    quoted price: `factor` times the 90th percentile of positive prices, which holds as long as fewer than a tenth of
+    the prices are such figures."""
     price = real(F.col("price"))
     top = reports.where(price > 0).agg(F.percentile_approx(price, 0.9, 10_000)).first()[0]
     return float("inf") if top is None else factor * float(top)
@@ -61,6 +62,17 @@ def _others(own: Column, has: Column, s: str, n: str) -> Column:
     return F.when(rest > 0, (F.col(s) - F.when(has, own).otherwise(0.0)) / rest)
 
 
+def _with_others(rows: DataFrame, by: str, out: str) -> DataFrame:
+    """Rows with `out`, the mean of the other log prices of their name in the group `by`. Rows whose `by` is null belong
+    to no group: they aren't summed, and their number `spare__` deals them evenly where they are shuffled for the join."""
+    has = F.col("lx").isNotNull()
+    spare = F.when(F.col(by).isNull(), 1 + F.pmod(F.xxhash64("report_id"), F.lit(1 << 20))).otherwise(0).alias("spare__")
+    sums = rows.where(has & F.col(by).isNotNull()).groupBy(by, "name").agg(F.sum("lx").alias("s__"), F.count(F.lit(1)).alias("n__"))
+    sums = sums.withColumn("spare__", F.lit(0).cast("bigint"))
+    joined = rows.select("*", spare).join(sums, [by, "name", "spare__"], "left")
+    return joined.select(*rows.columns, _others(F.col("lx"), has, "s__", "n__").alias(out))
+
+
 def predicted(rows: DataFrame) -> DataFrame:
     """Rows (with name, lx = log price or null) with `pred`, the fitted log price.
 
@@ -68,46 +80,48 @@ def predicted(rows: DataFrame) -> DataFrame:
     are none. Per commodity the two coefficients solve the normal equations of centred sums (slightly ridged, so equal
     predictors do no harm)."""
     has = F.col("lx").isNotNull()
-    total = lambda by, tag: rows.where(has).groupBy(*by).agg(F.sum("lx").alias(f"{tag}_s"), F.count(F.lit(1)).alias(f"{tag}_n"))
-    wide = rows.select("report_id", "sheet_id", "lot_code", "name", "lx")
-    wide = wide.join(total(["sheet_id", "name"], "h"), ["sheet_id", "name"], "left").select("report_id", "lot_code", "name", "lx", _others(F.col("lx"), has, "h_s", "h_n").alias("x"))
-    wide = wide.join(total(["lot_code", "name"], "l"), ["lot_code", "name"], "left").select("report_id", "name", "lx", "x", _others(F.col("lx"), has, "l_s", "l_n").alias("z"))
+    wide = _with_others(rows.select("report_id", "sheet_id", "lot_code", "name", "lx"), "sheet_id", "x")
+    wide = _with_others(wide.drop("sheet_id"), "lot_code", "z").drop("lot_code")
     mean = F.col("c_s") / F.col("c_n")
-    wide = wide.join(total(["name"], "c"), "name", "left")
+    whole = rows.where(has).groupBy("name").agg(F.sum("lx").alias("c_s"), F.count(F.lit(1)).alias("c_n"))
+    wide = wide.join(whole, "name", "left")
     wide = written(wide.select("report_id", "name", "lx", mean.alias("mean"), (F.coalesce("x", mean) - mean).alias("x"), (F.coalesce("z", mean) - mean).alias("z")))
     y = F.col("lx") - F.col("mean")
     seen = wide.where(has)
-    fit = seen.groupBy("name").agg(F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("z") * F.col("z")).alias("zz"), F.sum(F.col("x") * F.col("z")).alias("xz"), F.sum(F.col("x") * y).alias("xy"), F.sum(F.col("z") * y).alias("zy"))
+    product = lambda u, v, name: F.sum(u * v).alias(name)
+    x, z = F.col("x"), F.col("z")
+    fit = seen.groupBy("name").agg(product(x, x, "xx"), product(z, z, "zz"), product(x, z, "xz"), product(x, y, "xy"), product(z, y, "zy"))
     a, b, c = F.col("xx") * 1.001 + 1e-9, F.col("xz"), F.col("zz") * 1.001 + 1e-9
     det = a * c - b * b
     fit = fit.select("name", ((c * F.col("xy") - b * F.col("zy")) / det).alias("bx"), ((a * F.col("zy") - b * F.col("xy")) / det).alias("bz"))
-    return wide.join(fit, "name", "left").select("report_id", "name", "lx", (F.col("mean") + F.col("bx") * F.col("x") + F.col("bz") * F.col("z")).alias("pred"))
+    return wide.join(fit, "name", "left").select("report_id", "name", "lx", (F.col("mean") + F.col("bx") * x + F.col("bz") * z).alias("pred"))
 
 
-def match_donors(rows: DataFrame, pool: int = POOL) -> DataFrame:
+def match_donors(rows: DataFrame, pool: int = POOL, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Rows (report_id, name, lx, pred) without lx, with the donor drawn: report_id, donor, donor_lx, distance.
 
-    The pool are the `pool` donors of nearest prediction (ties: lower report_id); a hash of the report_id picks one."""
-    ready = rows.where("name is not null and pred is not null")
-    spread = ready.groupBy("name").agg(F.min("pred").alias("lo"), F.max("pred").alias("hi"), F.count(F.lit(1)).alias("rows"))
-    cells = F.greatest(F.lit(1.0), F.ceil(F.col("rows") / SHARD_ROWS))
-    width = (F.col("hi") - F.col("lo")) / cells
-    cell = F.when(width > 0, F.least(cells - 1, F.floor((F.col("pred") - F.col("lo")) / width))).otherwise(0).cast("bigint")
-    ready = ready.join(spread, "name").select("report_id", "name", "lx", "pred", cell.alias("cell"))
-    sizes = ready.groupBy("name", "cell").agg(F.count(F.lit(1)).alias("size"))
-    salt = F.pmod(F.xxhash64("report_id"), F.ceil(F.col("size") / SALT_ROWS)).cast("bigint")
-    ready = ready.join(sizes, ["name", "cell"]).withColumn("salt", salt).drop("size")
+    The pool are the `pool` donors of nearest prediction (of equally near ones those nearer in the order of prediction and
+    report_id); a hash of the report_id picks one. This holds at every size: ranks are those in the whole order of a name.
+    A name without donors gives its rows none; a report_id given twice is a row, or a donor, each time."""
+    ready = written(rows.where("name is not null and pred is not null").select("report_id", "name", "lx", "pred"))
+    parts = max(-(-ready.count() // shard_rows), int(ready.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # ranges of the rows' own quantiles: equal predictions are cut by report_id, a far one widens no shard
+    shards = ready.repartitionByRange(parts, "name", "pred", "report_id").withColumn("shard", F.spark_partition_id())
+    shards = written(shards)  # a shard's number holds for what follows, whoever computes it
     donor = F.col("lx").isNotNull().cast("bigint")
-    counts = ready.groupBy("name", "cell", "salt").agg(F.sum(donor).alias("donors"))
-    along = Window.partitionBy("name").orderBy("cell", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("name", "cell", "salt", F.coalesce(F.sum("donors").over(along), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("name", "cell", "salt").orderBy("pred", "report_id").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = ready.withColumn("rank", F.sum(donor).over(inside)).join(counts, ["name", "cell", "salt"]).select("name", "report_id", "lx", "pred", (F.col("rank") + F.col("offset")).alias("rank"))
-    ranked = written(ranked)  # both sides of the join below come from it
+    counts = shards.groupBy("name", "shard").agg(F.sum(donor).alias("donors"))
+    along = Window.partitionBy("name").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("name", "shard", F.coalesce(F.sum("donors").over(along), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("name", "shard").orderBy("pred", "report_id").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = shards.withColumn("rank", F.sum(donor).over(inside)).join(counts, ["name", "shard"])
+    ranked = written(ranked.select("name", "report_id", "lx", "pred", (F.col("rank") + F.col("offset")).alias("rank")))  # both sides of the join below come from it
     donors = ranked.where("lx is not null").select("name", "rank", F.col("report_id").alias("donor"), F.col("lx").alias("donor_lx"), F.col("pred").alias("donor_pred"))
-    asks = ranked.where("lx is null").select("name", "report_id", "pred", F.explode(F.sequence(F.col("rank") - (pool - 1), F.col("rank") + pool)).alias("rank"))
+    # donors up to the recipient's rank stand before it, `gap` 0 the nearest, and so do those beyond
+    gaps = F.explode(F.sequence(F.lit(1 - pool), F.lit(pool)))
+    asks = ranked.where("lx is null").select("name", "report_id", "pred", "rank", gaps.alias("k")).withColumn("gap", F.when(F.col("k") > 0, F.col("k") - 1).otherwise(-F.col("k")))
+    asks = asks.select("name", "report_id", "pred", "gap", (F.col("rank") + F.col("k")).alias("rank"))
     near = asks.join(donors, ["name", "rank"]).withColumn("distance", F.abs(F.col("pred") - F.col("donor_pred")))
-    best = F.slice(F.sort_array(F.collect_list(F.struct("distance", "donor", "donor_lx"))), 1, pool)
+    best = F.slice(F.sort_array(F.collect_list(F.struct("distance", "gap", "donor", "donor_lx"))), 1, pool)
     drawn = near.groupBy("report_id").agg(best.alias("best"))
     one = F.get("best", F.pmod(F.xxhash64("report_id"), F.size("best")).cast("int"))
     return drawn.select("report_id", one.alias("one")).select("report_id", "one.donor", "one.donor_lx", "one.distance")
