@@ -59,6 +59,21 @@ def test_every_document_once_and_nothing_overfull(spark):
         assert (fills > 0).sum() <= 1.25 * least + 3
 
 
+def test_a_packing_can_be_repeated(spark):
+    """Rows in another order and other partitions, documents given twice among them, lie in the same containers."""
+    rng = np.random.default_rng(4)
+    docs = [(i % 290, "word " * int(rng.integers(1, 60)), "", "") for i in range(300)]
+    cups = spark.createDataFrame([(1, "s", 64)], CUPS)
+    some = [sorted(map(tuple, packing.packed(spark.createDataFrame(rows, DOCS).repartition(n), cups, shard_docs=50, regroup=2).collect())) for rows, n in ((docs, 3), (docs[::-1], 7))]
+    assert some[0] == some[1]
+
+
+def test_profiles_are_a_short_list(spark):
+    cups = spark.range(packing.MOST_PROFILES + 1).selectExpr("cast(id as int) as profile_id", "'x' as profile_name", "100 + cast(id as int) as capacity_tokens")
+    with pytest.raises(ValueError):
+        packing.packed(spark.createDataFrame([(1, "a", "", "")], DOCS), cups)
+
+
 def test_empty_tables(spark):
     docs, cups = spark.createDataFrame([], DOCS), spark.createDataFrame([(1, "s", 50)], CUPS)
     assert packing.packed(docs, cups).count() == 0
