@@ -4,7 +4,8 @@ Documents are sized in tokens of a public tokenizer and dealt by a hash into sha
 document is placed where it minimises the sum over levels of (number of open containers filled to that level) squared;
 the counts stand in one array over the levels. A document larger than a container is cut into full containers and a
 rest. Containers left open by the shards are dealt once more into fewer shards and packed together as if each were one
-item, so that a shard's border leaves little unused space.
+item, so that a shard's border leaves little unused space. Inside a shard documents come in an order that follows from
+their ids alone, so a packing can be repeated, and a task run again gives what it gave before.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHARD_DOCS = 20_000
 REGROUP = 8
+#: Profiles that a packing may have; they are a short list by their meaning.
+MOST_PROFILES = 1000
 
 _encoders: dict[str, object] = {}
 
@@ -39,10 +43,13 @@ def encoder(path: str):
 
 
 def token_sizes(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id, tokens: the whole text's length in tokens; a null text has none."""
+    """doc_id, tokens: the whole text's length in tokens; a null text has none. The vocabulary file `tokenizer` need only
+    be on the driver: executors get it with the job."""
+    documents.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer).encode_ordinary
+        encode = encoder(SparkFiles.get(name)).encode_ordinary
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "tokens": [len(encode(t)) if t else 0 for t in pdf["text"]]})
 
@@ -98,7 +105,9 @@ class Shelf:
 
 
 def _pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """One shard of one profile: rows (unit, size) in their given order to rows with box (number) and fill."""
+    """One shard of one profile: rows (unit, part, size, turn) in order of (turn, unit, part, size) to rows with box
+    (number) and fill. turn is a hash of the unit, so that sizes come as if by chance."""
+    pdf = pdf.sort_values(["turn", "unit", "part", "size"], kind="stable", ignore_index=True)
     capacity = int(pdf["capacity"].iloc[0])
     shelf, boxes = Shelf(capacity), np.empty(len(pdf), np.int64)
     for i, size in enumerate(pdf["size"].to_numpy()):
@@ -119,7 +128,7 @@ def packed(documents: DataFrame, profiles: DataFrame, tokenizer: str = TOKENIZER
     of its own, and its rest packed like another document. Empty and null texts need no space: they have one row with
     n_tokens 0 in a container named `empty`, which holds nothing else. Equal documents are packed each for itself; a
     doc_id given twice is packed twice. Null doc_ids, and profiles without a capacity of at least one token, are left
-    out. container_id is unique in its profile; fill is the container's total. Empty tables give no rows, extra columns
+    out; more than MOST_PROFILES profiles are a ValueError. container_id is unique in its profile; fill is the container's total. Empty tables give no rows, extra columns
     are ignored. Shards number one per `shard_docs` documents, so the work of a task doesn't follow the data.
     """
     from tidegrid.plans.session import written
@@ -128,7 +137,9 @@ def packed(documents: DataFrame, profiles: DataFrame, tokenizer: str = TOKENIZER
     shards = max(1, -(-sizes.count() // shard_docs))
     cups = profiles.where("capacity_tokens >= 1").select(F.col("profile_id").cast("int").alias("profile_id"), F.col("capacity_tokens").cast("int").alias("capacity"))
     # pack_profiles is a small fixed table; each size row is repeated once per profile
-    pairs = [(r["profile_id"], r["capacity"]) for r in cups.collect()]
+    pairs = [(r["profile_id"], r["capacity"]) for r in cups.distinct().limit(MOST_PROFILES + 1).collect()]
+    if len(pairs) > MOST_PROFILES:
+        raise ValueError(f"more than {MOST_PROFILES} profiles")
     each = F.explode(F.array(*[F.struct(F.lit(p).alias("profile_id"), F.lit(c).alias("capacity")) for p, c in pairs])) if pairs else F.explode(F.array().cast("array<struct<profile_id:int,capacity:int>>"))
     rows = sizes.select("doc_id", "tokens", each.alias("p")).select("doc_id", "tokens", "p.profile_id", "p.capacity")
     empty = rows.where("tokens = 0").select("profile_id", F.lit("empty").alias("container_id"), "doc_id", F.lit(0).alias("part"), F.col("tokens").alias("n_tokens"), F.lit(0).cast("bigint").alias("fill"), "capacity")
@@ -137,12 +148,13 @@ def packed(documents: DataFrame, profiles: DataFrame, tokenizer: str = TOKENIZER
     rows = rows.where("tokens > 0").withColumn("full", full).withColumn("rest", rest)
     whole = rows.where("full > 0").select("profile_id", "doc_id", "capacity", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("part"))
     whole = whole.select("profile_id", F.concat_ws("-", F.lit("w"), "doc_id", "part").alias("container_id"), "doc_id", "part", F.col("capacity").cast("bigint").alias("n_tokens"), F.col("capacity").cast("bigint").alias("fill"), "capacity")
-    items = rows.where("rest > 0").select("profile_id", "capacity", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), F.col("doc_id").cast("string").alias("unit"), F.col("full").alias("part"), F.col("rest").alias("size"))
+    hashed = F.xxhash64("doc_id")
+    items = rows.where("rest > 0").select("profile_id", "capacity", F.pmod(hashed, F.lit(shards)).alias("shard"), F.col("doc_id").cast("string").alias("unit"), F.col("full").alias("part"), F.col("rest").alias("size"), hashed.alias("turn"))
     first = written(items.groupBy("profile_id", "shard").applyInPandas(_pack, PACKED))
     name = F.concat_ws("-", F.lit("s"), "shard", "box")
     fewer = max(1, -(-shards // regroup))
-    left = first.where("fill < capacity").select("profile_id", "capacity", F.pmod(F.col("shard"), F.lit(fewer)).alias("shard"), name.alias("unit"), F.lit(0).alias("part"), F.col("fill").alias("size")).distinct()
-    again = left.groupBy("profile_id", "shard").applyInPandas(_pack, PACKED)
+    left = first.where("fill < capacity").select("profile_id", "capacity", F.pmod(F.col("shard"), F.lit(fewer)).alias("shard"), name.alias("unit"), F.lit(0).alias("part"), F.col("fill").alias("size"), F.xxhash64(name).alias("turn")).distinct()
+    again = written(left.groupBy("profile_id", "shard").applyInPandas(_pack, PACKED))
     moved = again.select("profile_id", F.col("unit").alias("old"), F.concat_ws("-", F.lit("m"), "shard", "box").alias("new"), F.col("fill").alias("new_fill"))
     inside = first.withColumn("old", name).join(moved, ["profile_id", "old"], "left")
     inside = inside.select("profile_id", F.coalesce("new", "old").alias("container_id"), F.col("unit").cast("bigint").alias("doc_id"), "part", F.col("size").alias("n_tokens"), F.coalesce("new_fill", "fill").alias("fill"), "capacity")
