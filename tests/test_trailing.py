@@ -32,6 +32,23 @@ def test_odd_values(spark):
     assert trailing_totals(df.limit(0), "e", "t", "x", D, D).count() == 0
 
 
+def test_large_and_small_values(spark):
+    day = lambda k: dt.datetime.combine(D + dt.timedelta(k), dt.time(1))
+    df = spark.createDataFrame([("a", day(0), 1e-9), ("a", day(1), 3e25), ("a", day(2), 2.5), ("a", day(9), 2e-9)], "e string, t timestamp_ntz, x double")
+    got = {r["day"]: (r["total"], r["total_7d"], r["n_7d"]) for r in trailing_totals(df, "e", "t", "x", D, D + dt.timedelta(10), (7,)).collect()}
+    assert got[D] == (1e-9, 1e-9, 1) and got[D + dt.timedelta(1)][:2] == (3e25, 3e25)
+    assert got[D + dt.timedelta(8)] == (0.0, 2.5, 1) and got[D + dt.timedelta(10)] == (0.0, 2e-9, 1)  # the large value has left without a trace
+
+
+def test_calendar_ends_with_the_last_listed_day(spark, data):
+    from tidegrid.plans import data_queries
+    from tidegrid.sources.panels import table
+
+    last = table(spark, data, "listings").selectExpr("max(active_to) as t").first()["t"]
+    got = data_queries.p5_trailing(spark, data).selectExpr("max(day) as d").first()["d"]
+    assert got == (last - dt.timedelta(microseconds=1)).date()
+
+
 def test_quotes_drop_copies(spark):
     t = dt.datetime(2024, 7, 3, 1)
     rows = [("A b", t, 1.0, 1, "x"), (" a  B ", t, 1.0, 1, "x"), ("a b", t, 1.0, 2, "y"), ("a b", t, 2.0, 3, "y"), (None, t, 2.0, 3, "y"), ("a b", t, None, 4, "y")]

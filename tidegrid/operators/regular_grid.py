@@ -41,7 +41,7 @@ def _at_periods(readings: DataFrame, spells: DataFrame) -> DataFrame:
     return joined.where((F.col("period") >= F.col("lo")) & (F.col("period") <= F.col("hi")))
 
 
-def grid(readings: DataFrame, listings: DataFrame, shard_periods: int = SHARD_PERIODS) -> DataFrame:
+def grid(readings: DataFrame, listings: DataFrame, shard_periods: int = SHARD_PERIODS, counted: bool = True) -> DataFrame:
     """One row per period of every listing.
 
     Columns: listing_id, commodity_type (as registered), period_start, price, n_readings, is_missing, filled_price
@@ -50,8 +50,9 @@ def grid(readings: DataFrame, listings: DataFrame, shard_periods: int = SHARD_PE
     null where one is lacking).
 
     A period's price is that of its latest reading (ties: the higher reading_id, then the higher price). Null, NaN and
-    infinite prices are no price; a null name or time matches nothing. Redelivered and repeated rows change nothing
-    but n_readings, which counts the rows with a price.
+    infinite prices are no price; a null name or time matches nothing. Redelivered and repeated rows, and copies of a
+    quote through another feed, change nothing: n_readings counts different (time, price). Without `counted` it may
+    count copies, and a shuffle is spared.
     An empty reading table gives a grid of missing periods; no listings give no rows. Carries never cross from one
     listing to the next. Extra columns of either table are ignored.
     """
@@ -66,6 +67,8 @@ def grid(readings: DataFrame, listings: DataFrame, shard_periods: int = SHARD_PE
     none = [F.lit(None).cast(t).alias(c) for c, t in (("us", "bigint"), ("reading_id", "bigint"), ("price", "double"))]
     starts = shards.select("spell", "shard", F.col("from").alias("period"), *none)
     given = _at_periods(readings, spells).select("spell", shard(F.col("period")).alias("shard"), "period", "us", "reading_id", "price")
+    if counted:
+        given = given.groupBy("spell", "shard", "period", "us", "price").agg(F.max("reading_id").alias("reading_id")).select(*given.columns)
     best = F.max(F.when(F.col("price").isNotNull(), F.struct("us", "reading_id", "price")))
     rows = given.unionByName(starts).groupBy("spell", "shard", "period").agg(best.alias("best"), F.count("price").alias("n"))
     # the summaries and the filling both read these rows: written once, they aren't computed twice
@@ -112,5 +115,5 @@ def _carried(summaries: DataFrame) -> DataFrame:
 
 def missing_periods(readings: DataFrame, listings: DataFrame, shard_periods: int = SHARD_PERIODS) -> DataFrame:
     """Periods of the grid without a price: commodity_type, period_start as `yyyy-MM-dd HH:mm:ss`."""
-    rows = grid(readings, listings, shard_periods).where("is_missing")
+    rows = grid(readings, listings, shard_periods, counted=False).where("is_missing")
     return rows.select("commodity_type", F.date_format("period_start", "yyyy-MM-dd HH:mm:ss").alias("period_start")).distinct()

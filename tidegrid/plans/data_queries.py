@@ -8,13 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.operators import matched_fill, rank_summary, regular_grid, spikes
+from tidegrid.operators import matched_fill, regular_grid, spikes
 from tidegrid.operators.quotes import quotes, registered
 from tidegrid.operators.trailing_totals import trailing_totals
 from tidegrid.sources.panels import table
 
-PS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
-
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return regular_grid.missing_periods(table(spark, d, "commodities"), table(spark, d, "listings"))
@@ -24,22 +22,6 @@ def p1_grid(spark: SparkSession, d: str) -> DataFrame:
     return regular_grid.grid(table(spark, d, "commodities"), table(spark, d, "listings"))
 
 
-def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    out = rank_summary.grouped_percentiles(quotes(table(spark, d, "commodities")), ["key"], "price", PS)
-    return registered(out, table(spark, d, "commodity_types"))
-
-
-def p2_daily(spark: SparkSession, d: str) -> DataFrame:
-    rows = quotes(table(spark, d, "commodities")).withColumn("day", F.col("time").cast("date"))
-    days = rank_summary.merged(rank_summary.summarise(rows, ["key", "day"], "price", rank_summary.EPS / 4), ["key", "day"], rank_summary.EPS / 4, ())
-    return registered(days, table(spark, d, "commodity_types"))
-
-
-def p2_from_days(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of the whole half year put together from the summaries of single days."""
-    return rank_summary.percentiles(rank_summary.merged(p2_daily(spark, d), ["commodity_type"], rank_summary.EPS / 8), ["commodity_type"], PS)
-
-
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return matched_fill.missing_fields(table(spark, d, "price_reports"), table(spark, d, "commodity_types"))
 
@@ -57,8 +39,10 @@ def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_trailing(spark: SparkSession, d: str) -> DataFrame:
-    """The calendar runs from the first to the last listed day; readings of clocks beyond it don't count."""
-    span = table(spark, d, "listings").agg(F.min(F.col("active_from").cast("date")), F.max(F.col("active_to").cast("date"))).first()
+    """The calendar runs from the first to the last listed day (active_to is no longer listed); readings of clocks beyond
+    it don't count."""
+    until = F.timestamp_add("MICROSECOND", F.lit(-1), F.col("active_to").cast("timestamp_ntz"))
+    span = table(spark, d, "listings").agg(F.min(F.col("active_from").cast("date")), F.max(until.cast("date"))).first()
     rows = quotes(table(spark, d, "commodities"))
     if span[0] is None:
         rows, span = rows.limit(0), (dt.date(1970, 1, 1),) * 2
@@ -67,5 +51,5 @@ def p5_trailing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_grid, p2_percentiles, p2_daily, p2_from_days, p3_found, p3_filled, p4_found, p4_reasons, p5_trailing)
+    found = (p1_found, p1_grid, p3_found, p3_filled, p4_found, p4_reasons, p5_trailing)
     return {f.__name__: f for f in found}

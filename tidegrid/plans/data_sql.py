@@ -16,7 +16,7 @@ GRID = f"""
 WITH l AS (SELECT listing_id, commodity_type, {key()} AS k, {MICROS} AS step, epoch_us(active_from) AS a, epoch_us(active_to) AS b FROM listings),
 periods AS (SELECT listing_id, commodity_type, k, step, unnest(range(CAST((a + step - 1) // step AS BIGINT), CAST((b - 1) // step + 1 AS BIGINT))) AS p FROM l),
 r AS (SELECT {key()} AS k, epoch_us("time") AS us, price, reading_id FROM commodities WHERE {PRICED} AND "time" IS NOT NULL),
-o AS (SELECT l.listing_id, CAST(floor(us / step) AS BIGINT) AS p, max({{'us': us, 'id': reading_id, 'price': price}}).price AS price, count(*) AS n
+o AS (SELECT l.listing_id, CAST(floor(us / step) AS BIGINT) AS p, max({{'us': us, 'id': reading_id, 'price': price}}).price AS price, count(DISTINCT {{'us': us, 'price': price}}) AS n
       FROM r JOIN l ON l.k = r.k GROUP BY 1, 2),
 g AS (SELECT periods.*, o.price, coalesce(o.n, 0) AS n FROM periods LEFT JOIN o USING (listing_id, p)),
 """
@@ -50,8 +50,8 @@ UNION SELECT DISTINCT report_id, 'commodity_type', belongs FROM w WHERE name IS
 
 P5_TRAILING = f"""
 WITH q AS (SELECT DISTINCT {key()} AS k, "time", price FROM commodities WHERE {PRICED}),
-cal AS (SELECT min(CAST(active_from AS DATE)) AS a, max(CAST(active_to AS DATE)) AS b FROM listings),
-d AS (SELECT k, CAST("time" AS DATE) AS day, sum(CAST(price AS DECIMAL(28,6))) AS s, count(*) AS n FROM q, cal WHERE CAST("time" AS DATE) BETWEEN a AND b GROUP BY 1, 2),
+cal AS (SELECT min(CAST(active_from AS DATE)) AS a, max(CAST(active_to - INTERVAL 1 MICROSECOND AS DATE)) AS b FROM listings),
+d AS (SELECT k, CAST("time" AS DATE) AS day, sum(CAST(price AS DECIMAL(30,12))) AS s, count(*) AS n FROM q, cal WHERE CAST("time" AS DATE) BETWEEN a AND b GROUP BY 1, 2),
 days AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM cal),
 g AS (SELECT e.k, days.day, coalesce(d.s, 0) AS s, coalesce(d.n, 0) AS n FROM (SELECT DISTINCT k FROM d) e CROSS JOIN days LEFT JOIN d ON d.k = e.k AND d.day = days.day),
 w AS (SELECT *, sum(s) OVER w7 AS s7, sum(n) OVER w7 AS n7, sum(s) OVER w30 AS s30, sum(n) OVER w30 AS n30 FROM g
