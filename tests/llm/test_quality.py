@@ -21,6 +21,40 @@ def test_prose_and_not(spark):
     assert quality.text_statistics(df.limit(0), common).count() == 0
 
 
+def prose(text):
+    words = frozenset(COMMON + "is you or what how this your at all about from before as an had been who which".split())
+    return quality.statistics(text, words)[-1]
+
+
+def test_lists_of_common_words_are_no_prose():
+    menu = ["Print or share this with others", "What is on at the court", "Back to the top of this page", "How to find us in the town", "All about the court and you"]
+    for mark in (" | ", " / ", " » "):
+        assert not prose(mark.join(menu * 4))
+    bundle = "".join(f"{chr(97 + k)}) letter from the {a} to the {b} as to the state of the {c} at that\nwharf{';' * (k % 2)}\n" for k, (a, b, c) in enumerate([("seller", "buyer", "mill"), ("agent", "court", "quay"), ("buyer", "agent", "tram"), ("court", "seller", "loan")] * 3))
+    assert not prose("BUNDLE BEFORE THE COURT\n" + bundle) and prose(PROSE * 9 + "\n" + bundle)
+    # numbered paragraphs, wrapped before citations and initials, are prose; so is a quotation in guillemets
+    paragraphs = (f"{k}. The {w} of the sale was not due to the\n[2018] ABC {k} and so the {w} of it was for\nX. and for the court to say, as {w} was that.\n\n" for k, w in enumerate("sum loan mill quay lease deed share rent".split(), 1))
+    assert prose("".join(paragraphs))
+    assert prose("It was said of that « a sum » and « the day » that it was not for the court to say, and that was the end of it. " + PROSE)
+
+
+def test_words_in_no_order_are_no_prose():
+    words = (PROSE + "The learned judge had no doubt that a clause of the lease was in force at the time of the sale to the buyer.").lower().split() * 3
+    jumbled = [words[(k * 37) % len(words)] for k in range(len(words))]
+    assert len(words) % 37 and prose(" ".join(words)) and not prose(" ".join(jumbled))
+
+
+def test_a_text_that_repeats_itself_is_no_prose():
+    once = "The sum of it was not due to the court on that day. "
+    assert prose(once) and prose(once * 2) and not prose(once * 200) and not prose((once + "\n") * 5)
+
+
+def test_texts_read_together_are_read_alike():
+    words = frozenset(COMMON)
+    texts = [PROSE * 3, None, "", TABLE, "The [redacted] of ███ and *** was not for the", "12 34", PROSE.upper(), "a" * 500, "x\ud800y of the"]
+    assert quality.read(texts, words) == [quality.statistics(t, words) for t in texts]
+
+
 def test_figures():
     s = dict(zip([c.split()[0] for c in quality.SCHEMA.split(", ")][1:], quality.statistics("The cat sat.\nThe cat sat.\n\nof 12 ++", frozenset(COMMON)), strict=True))
     assert s["n_words"] == 7 and abs(s["mean_word_length"] - 20 / 7) < 1e-12

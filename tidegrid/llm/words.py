@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 WORD = re.compile(r"[^\W_]+")
-DIVIDED = re.compile("(?<=\\w)[-\u2010]\\s*\n\\s*(?=\\w)")
+DIVIDED = re.compile("[-\u2010](?<=\\w.)\\s*\n\\s*(?=\\w)")
 UNSEEN = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
 
 
