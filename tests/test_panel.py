@@ -181,3 +181,51 @@ def test_settings_are_scored_with_features(driven):
 
     fc.auto(spy, "1i", [1], 1, 1)(y, X)
     assert len(seen) == 2 and all(x is X for x in seen)
+
+
+def test_backtests_of_local_forecasters_take_one_pass(panel):
+    """Forecast all at once they equal those forecast split by split, over expanding and sliding windows."""
+    for make in (lambda: fc.naive("1d"), lambda: fc.snaive("1d", 4)):
+        for strategy in ("expanding", "sliding"):
+            cv = fc.windows(strategy, 5, 3, 2, 20)
+            once = values(fc.backtest(make(), panel, 5, 3, cv=cv)[0].orderBy("id", "split", "day"))
+            each = values(fc.backtest(fc.Forecaster(make().fit), panel, 5, 3, cv=cv)[0].orderBy("id", "split", "day"))
+            columns = ["id", "split", "day"]
+            pd.testing.assert_frame_equal(once.sort_values(columns, ignore_index=True)[[*columns, "x"]], each.sort_values(columns, ignore_index=True)[[*columns, "x"]])
+    with pytest.raises(ValueError):
+        fc.windows("other", 5, 3, 2)
+
+
+def test_residuals_of_fitted_values(panel, pdf):
+    lags = 3
+    told, resid = fc.linear_model("1d", lags).backtest(panel, test_size=4, n_splits=2, step_size=3)
+    got = values(resid)
+    assert set(got["split"]) == {0, 1, 2} and told.count() == 3 * 2 * 4
+    # least squares with a constant leaves residuals without mean, over all rows with all lags
+    assert (got.groupby("split")["y_resid"].mean().abs() < 1e-8).all()
+    assert (got.groupby("split").size() == pd.Series({0: 3 * (60 - 7 - lags), 1: 3 * (60 - 4 - lags), 2: 3 * (60 - lags)})).all()
+    for strategy in ("direct", "ensemble"):
+        model = fc.linear_model("1d", lags, strategy=strategy, max_horizons=2)(panel, None)
+        assert model.residuals().count() == 3 * (60 - lags - 1)
+    trees = fc.boosted_trees("1d", lags, 2, maxIter=2)(panel, None)
+    assert trees.residuals().count() == 3 * (60 - lags - 1)
+    # naive models miss the change since the row before
+    naive = values(fc.naive("1d").backtest(panel, test_size=2, n_splits=2)[1]).query("split == 2")
+    x = pdf.sort_values("day").groupby("id")["x"]
+    assert np.allclose(np.sort(naive["y_resid"]), np.sort(x.diff().dropna()))
+
+
+def test_conformalize_and_lengths(panel):
+    out = values(fc.naive("1d").conformalize(3, panel, test_size=3, n_splits=2, alphas=(0.1, 0.5, 0.9)))
+    wide = out.pivot_table(index=["id", "day"], columns="quantile", values="x")
+    assert set(wide.columns) == {10, 50, 90} and (wide[10] <= wide[50]).all() and (wide[50] <= wide[90]).all()
+    with pytest.raises(ValueError):
+        fc.naive("1d").backtest(panel, test_size=40)
+    assert fc.check_backtest_lengths(panel, 10, 40, drop_short=True).count() == 0
+
+
+def test_features_are_transformed_too(driven):
+    y, X, want = driven
+    shifted = fc.transformed(fc.ridge("1i", 2, 0.1), feature_transform=lambda f: f.withColumn("z", F.col("z") * 2))
+    got = {(r["id"], r["t"]): r["x"] for r in shifted(y, X).forecast(2, X).collect()}
+    assert len(got) == 4 and all(abs(v - want[k]) < 8 for k, v in got.items())

@@ -17,7 +17,7 @@ def test_all_holidays_of_a_year(spark):
 
 
 def test_holidays_of_every_order(spark, data):
-    got = entry.queries()["cal_holiday_effects_all"](spark, data).toPandas()
+    got = entry.queries()["cal_holiday_effects"](spark, data).toPandas()
     assert len(got) == spark.read.parquet(f"{data}/orders.parquet").count() and got["holiday__US"].isna().any()
     assert {"memorial_day", "labor_day", "thanksgiving_day"} <= set(got["holiday__US"].dropna())
 
@@ -25,7 +25,7 @@ def test_holidays_of_every_order(spark, data):
 def test_wide_holds_every_entity(spark, data):
     rows = spark.read.parquet(f"{data}/orders.parquet").join(spark.read.parquet(f"{data}/customer.parquet").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey")
     nations = {str(r[0]) for r in rows.select("c_nationkey").distinct().collect()}
-    wide = entry.queries()["long_to_wide_all"](spark, data)
+    wide = entry.queries()["long_to_wide"](spark, data)
     assert set(wide.columns) - {"month"} == {str(k) for k in range(25)}
-    long = entry.queries()["wide_to_long_all"](spark, data).toPandas()
+    long = entry.queries()["wide_to_long"](spark, data).toPandas()
     assert len(nations) > 4 and set(long["entity"]) == nations and len(long) == len(nations) * wide.count()

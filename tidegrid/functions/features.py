@@ -511,11 +511,14 @@ def detrended(df: DataFrame, entity: str, time: str, value: str, method: str = "
 
 
 def fractional_weights(d: float, min_weight: float | None = None, window_size: int | None = None) -> list[float]:
-    """Weights of (1 - B)^d, down to those below min_weight, or window_size of them."""
+    """Weights of (1 - B)^d, down to those below min_weight, or window_size of them. ValueError if min_weight asks for
+    more than 10,000, as each is a column of its own."""
     if (min_weight is None) == (window_size is None):
         raise ValueError("give min_weight or window_size, not both")
     weights = [1.0]
-    while window_size is not None and len(weights) < window_size or window_size is None and len(weights) < 10_000:
+    while window_size is None or len(weights) < window_size:
+        if window_size is None and len(weights) >= 10_000:
+            raise ValueError(f"more than 10,000 weights are at least {min_weight}: give window_size")
         nxt = -weights[-1] * (d - len(weights) + 1) / len(weights)
         if min_weight is not None and abs(nxt) < min_weight:
             break

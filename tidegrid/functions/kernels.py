@@ -213,8 +213,8 @@ def lempel_ziv_complexity(threshold: float, as_ratio: bool = True) -> Kernel:
 
 
 def cusum(threshold: float, warmup_period: int, drift: float = 0.0) -> Kernel:
-    """1 where the two-sided cumulative sum of standardised deviations passes the threshold, else 0. Mean and deviation
-    come from the warm-up, which begins anew after each event."""
+    """1 where the two-sided cumulative sum of standardised deviations passes the threshold, else 0. Mean and (population)
+    deviation come from the warm-up, which begins anew after each event."""
 
     def run(x: np.ndarray) -> list[float]:
         out = [0.0] * len(x)
@@ -225,7 +225,7 @@ def cusum(threshold: float, warmup_period: int, drift: float = 0.0) -> Kernel:
             if seen < warmup_period:
                 continue
             if seen == warmup_period:
-                mean, spread = float(np.mean(x[begin:t])), float(np.std(x[begin:t], ddof=1)) if warmup_period > 1 else 0.0
+                mean, spread = float(np.mean(x[begin:t])), float(np.std(x[begin:t])) if t > begin else 0.0
             z = (value - mean) / spread if spread > 0 else 0.0
             up, down = max(0.0, up + z - drift), max(0.0, down - z - drift)
             if up > threshold or down > threshold:

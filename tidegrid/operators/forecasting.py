@@ -7,6 +7,7 @@ directly: a model (or a set of neighbours) for each step ahead. Lag 1 of the fir
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.operators import metrics
 from tidegrid.operators.seasonality import future_of
-from tidegrid.operators.splits import expanding_window_split, long_enough
+from tidegrid.operators.splits import expanding_window_split, long_enough, sliding_window_split
 from tidegrid.operators.transforms import Fitted, Transform
 from tidegrid.plans.session import written
 from tidegrid.spec import PanelSpec
@@ -157,13 +158,40 @@ def last_values(y: DataFrame, size: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Model:
-    """A fitted forecaster: `forecast(fh, X_future)` gives entity, time, value."""
+    """A fitted forecaster: `forecast(fh, X_future)` gives entity, time, value; `residuals()` what the fitted values miss
+    of the training rows (entity, time, y_resid), None for models without fitted values."""
 
     forecast: Callable[[int, DataFrame | None], DataFrame]
     weights: dict[int, np.ndarray] = field(default_factory=dict)
+    residuals: Callable[[], DataFrame] | None = None
 
 
-Forecaster = Callable[[DataFrame, DataFrame | None], Model]
+@dataclass(frozen=True)
+class Forecaster:
+    """A way to fit a Model to y (entity, time, value) and features X; called, it fits.
+
+    lags: rows of history that a forecast needs. local: an entity's forecast rests on its own values alone, so that many
+    training sets can be forecast in one pass."""
+
+    fit: Callable[..., Model]
+    lags: int = 0
+    local: bool = False
+
+    def __call__(self, y: DataFrame, X: DataFrame | None = None) -> Model:
+        return self.fit(y, X)
+
+    def backtest(
+        self, y: DataFrame, X: DataFrame | None = None, test_size: int = 1, step_size: int = 1, n_splits: int = 5, window_size: int = 10, strategy: str = "expanding", drop_short: bool = False, drop_tolerance: float = 2.0
+    ) -> tuple[DataFrame, DataFrame]:
+        """`backtest` with in-sample residuals over expanding or sliding windows; see `check_backtest_lengths`."""
+        y = check_backtest_lengths(y, self.lags, test_size, drop_short, drop_tolerance)
+        return backtest(self, y, test_size, n_splits, step_size, X, windows(strategy, test_size, n_splits, step_size, window_size), residualize=True)
+
+    def conformalize(self, fh: int, y: DataFrame, X: DataFrame | None = None, X_future: DataFrame | None = None, alphas: Sequence[float] = (0.1, 0.9), drop_tolerance: float = 5.0, **kw) -> DataFrame:
+        """Forecast intervals from in-sample residuals of a backtest; `kw` as for `backtest`."""
+        ahead = self(y, X).forecast(fh, X_future)
+        told, resid = self.backtest(y, X, drop_tolerance=drop_tolerance, **kw)
+        return conformalize(ahead, told, resid.select(*resid.columns[:3]), alphas)
 
 
 def _with_steps(y: DataFrame, freq: str, fh: int, path: DataFrame) -> DataFrame:
@@ -181,7 +209,7 @@ def naive(freq: str) -> Forecaster:
         last = y.groupBy(p.entity).agg(F.max_by(p.values[0], p.time).alias("v__"))
         return Model(lambda fh, _=None: future_of(y, fh, freq).join(last, p.entity).select(p.entity, p.time, F.col("v__").alias(p.values[0])))
 
-    return fit
+    return Forecaster(fit, 1, local=True)
 
 
 def snaive(freq: str, sp: int) -> Forecaster:
@@ -193,7 +221,7 @@ def snaive(freq: str, sp: int) -> Forecaster:
         value = F.get("last__", F.pmod(F.col("step") - 1, F.size("last__")).cast("int"))
         return Model(lambda fh, _=None: future_of(y, fh, freq).join(last, p.entity).select(p.entity, p.time, value.alias(p.values[0])))
 
-    return fit
+    return Forecaster(fit, sp, local=True)
 
 
 def _future_features(y: DataFrame, X_future: DataFrame | None, names: Sequence[str], fh: int, freq: str) -> DataFrame:
@@ -256,10 +284,21 @@ def autoregressive(freq: str, lags: int, how: Linear = Linear(), strategy: str =
             a, b = recursive(fh, X_future), direct(fh, X_future).withColumnRenamed(p.values[0], "b__")
             return a.join(b, [p.entity, p.time]).select(p.entity, p.time, ((F.col(p.values[0]) + F.col("b__")) / 2).alias(p.values[0]))
 
+        def missed(ahead: int) -> DataFrame:
+            """Residuals of the rows with all lags; with several steps ahead, of the mean of their fitted values."""
+            fitted = [sum((F.col(f"lag_{h - 1 + k}") * float(weights[h][k]) for k in range(1, lags + 1)), effect(weights[h])) for h in range(1, ahead + 1)]
+            return design(rows, lags, names, ahead).select(p.entity, p.time, (F.col("y") - sum(fitted[1:], fitted[0]) / ahead).alias("y_resid"))
+
+        def residuals() -> DataFrame:
+            if strategy != "ensemble":
+                return missed(ahead)
+            other = missed(ahead).withColumnRenamed("y_resid", "r__")
+            return missed(1).join(other, [p.entity, p.time]).select(p.entity, p.time, ((F.col("y_resid") + F.col("r__")) / 2).alias("y_resid"))
+
         chosen = {"recursive": recursive, "direct": direct, "ensemble": both}[strategy]
-        return Model(lambda fh, X_future=None: chosen(fh, X_future), weights)
+        return Model(lambda fh, X_future=None: chosen(fh, X_future), weights, residuals)
 
-    return fit
+    return Forecaster(fit, lags if strategy == "recursive" else lags + max_horizons - 1)
 
 
 def linear_model(freq: str, lags: int, **kw) -> Forecaster:
@@ -327,9 +366,17 @@ def direct(freq: str, lags: int, max_horizons: int, fit_step: StepFit, extra: Se
                 told = one if told is None else told.unionByName(one)
             return future_of(y.select(p.entity, p.time), fh, freq).join(told, [p.entity, "step"]).select(p.entity, p.time, p.values[0], *extra)
 
-        return Model(forecast)
+        def residuals() -> DataFrame:
+            whole = design(rows, lags, names, max_horizons)
+            fitted: DataFrame | None = None
+            for h in range(1, max_horizons + 1):
+                one = steps[h](whole.select(p.entity, p.time, "y", *[F.col(f"lag_{k + h - 1}").alias(f"lag_{k}") for k in range(1, lags + 1)], *names)).select(p.entity, p.time, "y", "prediction")
+                fitted = one if fitted is None else fitted.unionByName(one)
+            return fitted.groupBy(p.entity, p.time).agg((F.max("y") - F.avg("prediction")).alias("y_resid"))
+
+        return Model(forecast, residuals=residuals)
 
-    return fit
+    return Forecaster(fit, lags + max_horizons - 1)
 
 
 def boosted_trees(freq: str, lags: int, max_horizons: int = 1, **params) -> Forecaster:
@@ -492,7 +539,7 @@ def knn(freq: str, lags: int, k: int = 5, max_horizons: int = 1, block: int = 20
 
         return Model(forecast)
 
-    return fit
+    return Forecaster(fit, lags + max_horizons - 1)
 
 
 def blocks_of(df: DataFrame, size: int) -> Iterator[pd.DataFrame]:
@@ -533,50 +580,98 @@ def ann(freq: str, lags: int, tables: int = 4, width: float | None = None, max_h
 
         return Model(forecast)
 
-    return fit
+    return Forecaster(fit, lags + max_horizons - 1)
 
 
-def transformed(base: Forecaster, steps: Sequence[Transform]) -> Forecaster:
-    """The forecaster on the transformed target; forecasts are transformed back in reverse order."""
+def transformed(base: Forecaster, steps: Sequence[Transform] = (), feature_transform: Callable[[DataFrame], DataFrame] | None = None) -> Forecaster:
+    """The forecaster on the transformed target and features; forecasts are transformed back in reverse order."""
+    of = lambda X: X if X is None or feature_transform is None else feature_transform(X)
 
     def fit(y: DataFrame, X: DataFrame | None = None) -> Model:
         done: list[Fitted] = []
         for s in steps:
             done.append(s.fit(y))
             y = done[-1].transformed
-        model = base(y, X)
+        model = base(y, of(X))
 
         def forecast(fh: int, X_future: DataFrame | None = None) -> DataFrame:
-            out = model.forecast(fh, X_future)
+            out = model.forecast(fh, of(X_future))
             for s in reversed(done):
                 out = s.invert(out)
             return out
 
         return Model(forecast, model.weights)
 
-    return fit
+    return Forecaster(fit, base.lags)
 
 
 # -- backtests, intervals, selection ------------------------------------------------------------------------------
 
 
-def backtest(forecaster: Forecaster, y: DataFrame, fh: int, n_splits: int = 5, step_size: int = 1, X: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(predictions, residuals) over expanding windows: entity, time, value, split and entity, time, y_resid, split.
+def check_backtest_lengths(y: DataFrame, max_lags: int, test_size: int, drop_short: bool = False, drop_tolerance: float = 2.0) -> DataFrame:
+    """Entities with more rows than max_lags + test_size * drop_tolerance; shorter ones are dropped, or raise ValueError."""
+    return long_enough(y, int(max_lags + test_size * drop_tolerance) + 1, drop_short)
 
-    Predictions and actual rows meet by (entity, position in the test), as real calendars may have gaps."""
+
+def windows(strategy: str, test_size: int, n_splits: int, step_size: int, window_size: int = 10) -> Callable[[DataFrame], DataFrame]:
+    """A split by name: `expanding` or `sliding`."""
+    if strategy == "expanding":
+        return lambda y: expanding_window_split(y, test_size, n_splits, step_size)
+    if strategy == "sliding":
+        return lambda y: sliding_window_split(y, test_size, n_splits, step_size, window_size)
+    raise ValueError(f"strategy is expanding or sliding, not {strategy!r}")
+
+
+def changes(y: DataFrame) -> DataFrame:
+    """What the last value misses of each row but the first: entity, time, y_resid."""
     p = PanelSpec.of(y)
-    flat = expanding_window_split(y.select(p.entity, p.time, p.values[0]), fh, n_splits, step_size)
-    told: DataFrame | None = None
-    for i in range(n_splits):
-        part = flat.where(F.col("split") == i)
-        train, test = part.where(~F.col("is_test")).select(p.entity, p.time, p.values[0]), part.where("is_test")
-        place = F.row_number().over(Window.partitionBy(p.entity).orderBy(p.time))
-        x_test = None if X is None else X
-        pred = forecaster(train, X).forecast(fh, x_test).select(p.entity, F.col(p.values[0]).alias("p__"), place.alias("k__"))
-        real = test.select(p.entity, p.time, F.col(p.values[0]).alias("a__"), place.alias("k__"))
-        one = real.join(pred, [p.entity, "k__"]).select(p.entity, p.time, "p__", "a__", F.lit(i).alias("split"))
-        told = one if told is None else told.unionByName(one)
-    return told.select(p.entity, p.time, F.col("p__").alias(p.values[0]), "split"), told.select(p.entity, p.time, (F.col("a__") - F.col("p__")).alias("y_resid"), "split")
+    step = F.col(p.values[0]) - F.lag(p.values[0]).over(Window.partitionBy(p.entity).orderBy(p.time))
+    return y.select(p.entity, p.time, step.alias("y_resid")).where("y_resid is not null")
+
+
+def backtest(
+    forecaster: Forecaster, y: DataFrame, fh: int, n_splits: int = 5, step_size: int = 1, X: DataFrame | None = None, cv: Callable[[DataFrame], DataFrame] | None = None, residualize: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(predictions, residuals) over the splits of `cv`, expanding windows if none is given: entity, time, value, split and
+    entity, time, y_resid, split.
+
+    Residuals are those of the predictions or, with `residualize`, what the models miss of their own training rows, of a
+    model of all rows besides (split n_splits); models without fitted values miss the change since the row before.
+    Predictions and actual rows meet by (entity, position in the test), as real calendars may have gaps. Training sets of
+    a local forecaster are forecast in one pass, each entity and split as one of its own; others take a fit a split."""
+    p = PanelSpec.of(y)
+    flat = (cv or windows("expanding", fh, n_splits, step_size))(y.select(p.entity, p.time, p.values[0]))
+    train, test = flat.where(~F.col("is_test")), flat.where("is_test")
+    keys = [p.entity, "split"]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(p.time))
+    inside: list[DataFrame] = []
+    if getattr(forecaster, "local", False):
+        own = train.select(F.struct(*keys).alias(p.entity), p.time, p.values[0])
+        ahead = forecaster(own, None).forecast(fh, None)
+        pred = ahead.select(F.col(f"{p.entity}.{p.entity}").alias(p.entity), F.col(f"{p.entity}.split").alias("split"), p.time, p.values[0])
+        if residualize:
+            inside.append(changes(own).select(F.col(f"{p.entity}.{p.entity}").alias(p.entity), p.time, "y_resid", F.col(f"{p.entity}.split").alias("split")))
+    else:
+        pred = None
+        for i in range(n_splits):
+            part = train.where(F.col("split") == i).select(p.entity, p.time, p.values[0])
+            model = forecaster(part, X)
+            one = model.forecast(fh, X).select(p.entity, F.lit(i).alias("split"), p.time, p.values[0])
+            pred = one if pred is None else pred.unionByName(one)
+            if residualize:
+                inside.append((model.residuals() if model.residuals else changes(part)).withColumn("split", F.lit(i)))
+    pred = pred.select(*keys, F.col(p.values[0]).alias("p__"), place.alias("k__"))
+    real = test.select(*keys, p.time, F.col(p.values[0]).alias("a__"), place.alias("k__"))
+    told = real.join(pred, [*keys, "k__"])
+    predictions = told.select(p.entity, p.time, F.col("p__").alias(p.values[0]), "split")
+    if not residualize:
+        return predictions, told.select(p.entity, p.time, (F.col("a__") - F.col("p__")).alias("y_resid"), "split")
+    whole = forecaster(y.select(p.entity, p.time, p.values[0]), X)
+    inside.append((whole.residuals() if whole.residuals else changes(y)).withColumn("split", F.lit(n_splits)))
+    residuals = inside[0]
+    for one in inside[1:]:
+        residuals = residuals.unionByName(one)
+    return predictions, residuals
 
 
 def enbpi(y_pred: DataFrame, y_resid: DataFrame, alphas: Sequence[float] = (0.1, 0.9)) -> DataFrame:
@@ -605,7 +700,8 @@ def cv_error(forecaster: Forecaster, y: DataFrame, fh: int, n_splits: int = 3, X
 
 
 def auto(make: Callable[..., Forecaster], freq: str, lags: Sequence[int], fh: int, n_splits: int = 3, grid: Sequence[dict] = ({},)) -> Forecaster:
-    """The number of lags and parameters of least backtest error, fitted on all rows; settings that fail are passed over."""
+    """The number of lags and parameters of least backtest error, fitted on all rows. Settings that can't be fitted (as
+    too many lags for the series) are passed over with a warning; ValueError if none can."""
 
     def fit(y: DataFrame, X: DataFrame | None = None) -> Model:
         p = PanelSpec.of(y)
@@ -615,14 +711,14 @@ def auto(make: Callable[..., Forecaster], freq: str, lags: Sequence[int], fh: in
             for params in grid:
                 try:
                     scored.append((cv_error(make(freq, n, **params), y.select(p.entity, p.time, p.values[0]), fh, n_splits, X), n, params))
-                except (ValueError, np.linalg.LinAlgError):
-                    continue
+                except (ValueError, np.linalg.LinAlgError) as e:
+                    warnings.warn(f"lags {n}, {params}: {e}", stacklevel=2)
         if not scored:
             raise ValueError("no setting could be fitted")
         _, n, params = min(scored, key=lambda s: (s[0], s[1]))
         return make(freq, n, **params)(y, X)
 
-    return fit
+    return Forecaster(fit, max(lags))
 
 
 def auto_linear_model(freq: str, lags: Sequence[int] = (3, 6, 12), fh: int = 1, **kw) -> Forecaster:
@@ -672,7 +768,7 @@ def elite(base: dict[str, Forecaster], fh: int, top_k: int = 3, n_splits: int =
 
         return Model(forecast)
 
-    return fit
+    return Forecaster(fit, max((getattr(f, "lags", 0) for f in base.values()), default=0))
 
 
 def score(model: Model, y_train: DataFrame, y_test: DataFrame, fh: int) -> DataFrame:

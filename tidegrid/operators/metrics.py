@@ -91,7 +91,8 @@ def _phi(z: pd.Series) -> pd.Series:
 
 
 def crps(y_true: DataFrame, y_pred: DataFrame, y_pred_std: DataFrame) -> DataFrame:
-    """Mean continuous ranked probability score of normal forecasts (means and standard deviations by key)."""
+    """Mean continuous ranked probability score of normal forecasts (means and standard deviations by key). Keys without
+    a forecast, or with a deviation that is null or not positive, have no distribution and don't count."""
     t, s = PanelSpec.of(y_true), PanelSpec.of(y_pred_std)
     spread = y_pred_std.select(F.col(s.entity).alias(t.entity), F.col(s.time).alias(t.time), F.col(s.target).cast("double").alias("s__"))
     rows = matched(y_true, y_pred).join(spread, [t.entity, t.time], "left").where("p__ is not null and s__ > 0").withColumn("z__", (_a() - _p()) / F.col("s__"))

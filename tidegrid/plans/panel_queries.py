@@ -77,16 +77,12 @@ SCALE = "d AS (SELECT entity, avg(abs(value - pred)) AS a, avg((value - pred) *
 
 
 def _wide(s: SparkSession, d: str) -> DataFrame:
-    return seasonality.long_to_wide(monthly(s, d).where("entity < 4"), [0, 1, 2, 3])
-
-
-def _wide_all(s: SparkSession, d: str) -> DataFrame:
     return seasonality.long_to_wide(monthly(s, d), NATIONS)
 
 
 def prep_one_hot(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "events").select("user_id", "ts", "event_type", "value")
-    return transforms.one_hot_encode(["event_type"])(rows).drop("value")
+    return transforms.one_hot_encode(["event_type"])(rows)
 
 
 def cv(kind: str) -> Q:
@@ -175,7 +171,7 @@ QUERIES: dict[str, tuple[Q, str | None]] = {
     "prep_resample": (lambda s, d: rounded(transforms.resample("1d", "sum")(table(s, d, "events").select("user_id", "ts", "value")), 4), "SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS ts, round(sum(value), 4) AS value FROM events GROUP BY 1, 2"),
     "prep_trim": (lambda s, d: transforms.trim("both")(bars(s, d)), B + ", x AS (SELECT series_id, min(day) AS a, max(day) AS z FROM b GROUP BY 1), y AS (SELECT max(a) AS a, min(z) AS z FROM x) SELECT b.* FROM b, y WHERE day >= a AND day <= z"),
     "prep_lag": (lambda s, d: transforms.lag([1, 3])(monthly(s, d)), M + f" SELECT entity, month, value__lag_1, value__lag_3 FROM (SELECT *, lag(value, 1) OVER {W} AS value__lag_1, lag(value, 3) OVER {W} AS value__lag_3, row_number() OVER {W} AS i FROM m) WHERE i > 3"),
-    "prep_one_hot_encode": (prep_one_hot, "SELECT user_id, ts, " + ", ".join(f"CAST(event_type = '{k}' AS INT) AS event_type__{k}" for k in EVENT_TYPES) + " FROM events"),
+    "prep_one_hot_encode": (prep_one_hot, "SELECT user_id, ts, value, " + ", ".join(f"CAST(event_type = '{k}' AS INT) AS event_type__{k}" for k in EVENT_TYPES) + " FROM events"),
     "prep_roll": (
         lambda s, d: rounded(transforms.roll([3, 6], ["mean", "min", "max", "sum", "std", "mlm", "cv"])(monthly(s, d)), 3),
         M + " " + E + ", ".join(f"CASE WHEN i > {w} THEN round({x}, 3) END AS value__rolling_{n}_{w}" for w in (3, 6) for n, x in {"mean": f"avg(value) OVER w{w}", "min": f"min(value) OVER w{w}", "max": f"max(value) OVER w{w}", "sum": f"sum(value) OVER w{w}", "std": f"stddev_samp(value) OVER w{w}", "mlm": f"max(value) OVER w{w} - min(value) OVER w{w}", "cv": f"stddev_samp(value) OVER w{w} / avg(value) OVER w{w}"}.items())
@@ -209,11 +205,7 @@ QUERIES: dict[str, tuple[Q, str | None]] = {
         "SELECT event_id, ts, " + ", ".join(f"CAST({x} AS VARCHAR) AS {n}" for n, x in {"minute": "minute(ts)", "hour": "hour(ts)", "day": "day(ts)", "weekday": "isodow(ts)", "week": "weekofyear(ts)", "month": "month(ts)", "quarter": "quarter(ts)", "year": "year(ts)"}.items()) + " FROM events",
     ),
     "cal_calendar_dummies": (lambda s, d: seasonality.add_calendar_effects(monthly(s, d), ["quarter"], True), M + " SELECT entity, month, value, " + ", ".join(f"CAST(quarter(month) = {k} AS INT) AS quarter_{k}" for k in range(1, 5)) + " FROM m"),
-    "cal_holiday_effects": (
-        lambda s, d: seasonality.add_holiday_effects(table(s, d, "orders").select("o_orderkey", "o_orderdate"), ["US"]).where("holiday__US in ('christmas_day', 'independence_day', 'new_years_day', 'veterans_day')"),
-        "SELECT o_orderkey, o_orderdate, CASE WHEN month(o_orderdate) = 12 THEN 'christmas_day' WHEN month(o_orderdate) = 7 THEN 'independence_day' WHEN month(o_orderdate) = 1 THEN 'new_years_day' ELSE 'veterans_day' END AS \"holiday__US\" FROM orders WHERE (month(o_orderdate), day(o_orderdate)) IN ((12, 25), (7, 4), (1, 1), (11, 11))",
-    ),
-    "cal_holiday_effects_all": (lambda s, d: seasonality.add_holiday_effects(table(s, d, "orders").select("o_orderkey", "o_orderdate"), ["US"]), US_HOLIDAYS),
+    "cal_holiday_effects": (lambda s, d: seasonality.add_holiday_effects(table(s, d, "orders").select("o_orderkey", "o_orderdate"), ["US"]), US_HOLIDAYS),
     "cal_future_calendar_effects": (
         lambda s, d: seasonality.make_future_calendar_effects(monthly(s, d).withColumnRenamed("month", "start"), ["month", "year"], 14, "1mo"),
         M + FUTURE.format(14) + ", x AS (SELECT entity, CAST(last + CAST(h AS INT) * INTERVAL 1 MONTH AS DATE) AS start FROM f CROSS JOIN h) SELECT entity, start, CAST(month(start) AS VARCHAR) AS month, CAST(year(start) AS VARCHAR) AS year FROM x",
@@ -224,11 +216,9 @@ QUERIES: dict[str, tuple[Q, str | None]] = {
         lambda s, d: rounded(seasonality.add_fourier_terms(monthly(s, d), 12, 2), 6, "cos_12_1", "sin_12_1", "cos_12_2", "sin_12_2"),
         M + " SELECT entity, month, value, " + ", ".join(f"round({f}(2 * pi() * {k} * (i % 12) / 12), 6) + 0.0 AS {f}_12_{k}" for k in (1, 2) for f in ("cos", "sin")) + f" FROM (SELECT *, row_number() OVER {W} - 1 AS i FROM m)",
     ),
-    "long_to_wide": (_wide, M + " SELECT month, " + ", ".join(f'max(value) FILTER (WHERE entity = {k}) AS "{k}"' for k in range(4)) + " FROM m WHERE entity < 4 GROUP BY 1"),
-    "wide_to_long": (lambda s, d: seasonality.wide_to_long(_wide(s, d), "month"), M + ", t AS (SELECT DISTINCT month FROM m WHERE entity < 4), e AS (SELECT unnest(range(4)) AS entity) SELECT CAST(e.entity AS VARCHAR) AS entity, t.month, value FROM t CROSS JOIN e LEFT JOIN m ON m.month = t.month AND m.entity = e.entity"),
-    "long_to_wide_all": (_wide_all, M + " SELECT month, " + ", ".join(f'max(value) FILTER (WHERE entity = {k}) AS "{k}"' for k in NATIONS) + " FROM m GROUP BY 1"),
+    "long_to_wide": (_wide, M + " SELECT month, " + ", ".join(f'max(value) FILTER (WHERE entity = {k}) AS "{k}"' for k in NATIONS) + " FROM m GROUP BY 1"),
     # the entities are looked up
-    "wide_to_long_all": (lambda s, d: seasonality.wide_to_long(seasonality.long_to_wide(monthly(s, d)), "month"), M + ", t AS (SELECT DISTINCT month FROM m), e AS (SELECT DISTINCT entity FROM m) SELECT CAST(e.entity AS VARCHAR) AS entity, t.month, value FROM t CROSS JOIN e LEFT JOIN m ON m.month = t.month AND m.entity = e.entity"),
+    "wide_to_long": (lambda s, d: seasonality.wide_to_long(seasonality.long_to_wide(monthly(s, d)), "month"), M + ", t AS (SELECT DISTINCT month FROM m), e AS (SELECT DISTINCT entity FROM m) SELECT CAST(e.entity AS VARCHAR) AS entity, t.month, value FROM t CROSS JOIN e LEFT JOIN m ON m.month = t.month AND m.entity = e.entity"),
     "cv_train_test_split": (lambda s, d: splits.train_test_split(monthly(s, d), 0.25)[1], M + ", k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY month DESC) AS k, count(*) OVER (PARTITION BY entity) AS n FROM m) SELECT entity, month, value FROM k WHERE k <= n - CAST(floor(n * 0.75) AS BIGINT)"),
     "cv_expanding_window_split": (cv("expanding"), CV.format("")),
     "cv_sliding_window_split": (cv("sliding"), CV.format("AND k <= cut + 12")),

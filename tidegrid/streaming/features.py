@@ -58,7 +58,7 @@ def cusum_events(stream: DataFrame, entity: str, time: str, value: str, threshol
                 mean += step / n
                 sq += step * (v - mean)
                 continue
-            spread = math.sqrt(sq / (n - 1)) if n > 1 else 0.0
+            spread = math.sqrt(sq / n) if n else 0.0
             z = (v - mean) / spread if spread > 0 else 0.0
             up, down = max(0.0, up + z - drift), max(0.0, down - z - drift)
             if up > threshold or down > threshold:
