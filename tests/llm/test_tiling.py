@@ -71,6 +71,47 @@ def test_found_passages(spark):
     assert tiling.leaked(d.limit(0), t).count() == 0 and tiling.leaked(d, t.limit(0)).count() == 0
 
 
+def test_short_items_are_found_whole(spark):
+    rnd = random.Random(7)
+    sizes = (1, 2, 3, 4, 7, 8, 11, 16, 23)
+    items = {n: passage(rnd, n) for n in sizes}
+    noise = passage(rnd, 40, "qrstuvwxyz")
+    docs = [(100 + n, " ".join(noise + ws + noise)) for n, ws in items.items()] + [(200 + n, " ".join(noise + ws[:-1] + noise)) for n, ws in items.items() if n < 8]
+    docs += [(300 + n, " ".join(noise + [w if k % 8 != 4 else "other" for k, w in enumerate(items[n])] + noise)) for n in (8, 16, 23)]
+    d = spark.createDataFrame([(i, t, "clash", "en") for i, t in docs], DOCS)
+    t = spark.createDataFrame([(i, " ".join(ws), "en") for i, ws in items.items()], ITEMS)
+    got = {(r["item_id"], r["doc_id"]): r["in_order"] for r in tiling.leaked(d, t).collect()}
+    assert got == {(n, 100 + n): True for n in sizes} | {(n, 300 + n): True for n in (8, 16, 23)}
+
+
+def test_neighbouring_copies_that_lack_different_words():
+    a = np.arange(30)
+    one, two = a.copy(), a.copy()
+    one[[5, 13, 21]] = two[[8, 16, 24]] = -1
+    for gap in (0, 5, 40):
+        b = np.r_[one, np.full(gap, -1), two]
+        assert tiling.verdict(a, b)[0] >= 26 and tiling.may_pass(a, b, 26, 0.7, -29, len(b))
+
+
+def test_bounds_hold():
+    """No tiling finds more than the bound before it says."""
+    rnd = np.random.default_rng(3)
+    for _ in range(40):
+        a, b = rnd.integers(-1, 6, 40), rnd.integers(-1, 6, 90)
+        b[20:45] = a[5:30]
+        assert tiling.verdict(a, b)[0] <= tiling.most_possible(a, b, 30) <= 30
+
+
+def test_hashes_and_repetitive_text():
+    ids = np.random.default_rng(1).integers(0, 9, 50)
+    for size in (1, 2, 3, 7, 16, 50, 51):
+        want = [sum(int(x) * 1_000_003 ** (size - 1 - k) for k, x in enumerate(ids[i : i + size])) % 2**64 for i in range(len(ids) - size + 1)]
+        assert tiling.gram_hashes(ids, size).tolist() == want
+    index = tiling.ItemIndex([(i, "the court held that " * 30) for i in range(40)])
+    found = [(i, tiling.verdict(index.ids[i], b, need=26)) for _, i, b, _, _ in index.stretches(["the court held that the " * 480])]
+    assert len(found) == 40 and all(n >= 26 for _, (n, _) in found)
+
+
 def test_pieces_in_changed_order(spark):
     rnd = random.Random(3)
     items = {i: passage(rnd, 80) for i in (1, 2, 3)}

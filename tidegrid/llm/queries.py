@@ -64,7 +64,9 @@ def p6_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return tiling.leaked(table(spark, d, "documents"), table(spark, d, "test_items")).where("in_order").select("item_id", "doc_id")
+    """Pairs that hold a whole passage of 30 words; shorter items have none."""
+    rows = tiling.leaked(table(spark, d, "documents"), table(spark, d, "test_items"))
+    return rows.where(F.col("in_order") & (F.col("words_found") >= tiling.least_words(tiling.PASSAGE))).select("item_id", "doc_id")
 
 
 def p7_coverage(spark: SparkSession, d: str) -> DataFrame:
