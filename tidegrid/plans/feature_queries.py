@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions import features as f
 from tidegrid.functions import kernels as k
+from tidegrid.plans.least_squares_sql import least_squares
 from tidegrid.sources.panels import table
 
 Q = Callable[[SparkSession, str], DataFrame]
@@ -104,6 +105,53 @@ KERNELS: dict[str, k.Kernel] = {
 }
 
 
+#: Digits to which kernels with a statement are rounded, so that the order of summation doesn't show.
+KERNEL_DIGITS = {"approximate_entropy": 6, "sample_entropy": 6, "autoregressive_coefficients": 5, "augmented_dickey_fuller": 4, "cusum": 1, "cwt_coefficients": 4, "fft_coefficients": 4, "spkt_welch_density": 4, "fourier_entropy": 6, "lempel_ziv_complexity": 9}
+
+_PAIRS = """, e AS (SELECT user_id, max(n) AS n, {level} * {sd}(v) AS r FROM s GROUP BY 1),
+p AS (SELECT a.user_id, a.i, max(a.n) AS n, count(*) FILTER (WHERE abs(a.v - b.v) <= r AND abs(a.f1 - b.f1) <= r) AS c2, count(*) FILTER (WHERE abs(a.v - b.v) <= r AND abs(a.f1 - b.f1) <= r AND abs(a.f2 - b.f2) <= r) AS c3
+  FROM s a JOIN s b ON a.user_id = b.user_id JOIN e ON e.user_id = a.user_id GROUP BY 1, 2)"""
+# power density of Hann windows of up to 256 values, half overlapping
+_WELCH = """, u AS (SELECT user_id, max(n) AS n, least(max(n), 256) AS w FROM s GROUP BY 1), g AS (SELECT user_id, w, unnest(range(0, n - w + 1, greatest(1, w - w // 2))) AS a FROM u),
+h AS (SELECT s.user_id, g.w, a, i - a AS t, v - avg(v) OVER (PARTITION BY s.user_id, a) AS d, CASE WHEN g.w > 1 THEN 0.5 - 0.5 * cos(2 * pi() * (i - a) / g.w) ELSE 1 END AS c FROM s JOIN g ON g.user_id = s.user_id AND i >= a AND i < a + g.w),
+q AS (SELECT user_id, w, a, k, (pow(sum(d * c * cos(2 * pi() * k * t / w)), 2) + pow(sum(d * c * sin(2 * pi() * k * t / w)), 2)) / sum(c * c) * CASE WHEN k >= 1 AND k < (w + 1) // 2 THEN 2 ELSE 1 END AS x FROM h, (SELECT unnest(range(0, 129)) AS k) WHERE k <= w // 2 GROUP BY 1, 2, 3, 4),
+d AS (SELECT user_id, k, avg(x) AS x FROM q GROUP BY 1, 2)"""
+
+
+def _kernel_sql() -> dict[str, str]:
+    one = lambda name, rest: f"{SERIES}{rest}"
+    # SERIES ends with s; its window columns are v, i, n, l1, l2, l4, f1, f2
+    out = {
+        "approximate_entropy": _PAIRS.format(level=0.5, sd="stddev_samp") + " SELECT user_id, 0 AS place, round(abs(avg(ln(c2 / (n - 1))) FILTER (WHERE i <= n - 2) - avg(ln(c3 / (n - 2))) FILTER (WHERE i <= n - 3)), 6) AS approximate_entropy FROM p GROUP BY 1",
+        "sample_entropy": _PAIRS.format(level=0.2, sd="stddev_pop")
+        + """, t AS (SELECT user_id, sum(c2) - max(n) + 1 AS b, sum(c3) - max(n) + 2 AS a, max(n) AS n FROM p GROUP BY 1) SELECT user_id, 0 AS place, CASE WHEN n < 3 THEN 'nan'::DOUBLE WHEN a > 0 AND b > 0 THEN round(ln(b / a), 6) WHEN b > 0 THEN 'inf'::DOUBLE ELSE 'nan'::DOUBLE END AS sample_entropy FROM t""",
+        "autoregressive_coefficients": f", z AS (SELECT * FROM s WHERE n >= 5), {least_squares('z', 'v', ['l1', 'l2'], ['user_id'])}, o AS (SELECT user_id, unnest([b1, b2, b0]) AS x, unnest([0, 1, 2]) AS place FROM w) SELECT user_id, CAST(place AS INT) AS place, round(x, 5) + 0.0 AS autoregressive_coefficients FROM o",
+        "cusum": """, r AS (WITH RECURSIVE c AS (SELECT user_id, CAST(-1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS k, 0.0::DOUBLE AS m, 0.0::DOUBLE AS q, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, 0 AS hit FROM s WHERE i = 0
+  UNION ALL SELECT user_id, i, CASE WHEN hit = 1 THEN 0 WHEN k < 20 THEN k + 1 ELSE k END, CASE WHEN hit = 1 THEN 0 WHEN k < 20 THEN m + v ELSE m END, CASE WHEN hit = 1 THEN 0 WHEN k < 20 THEN q + v * v ELSE q END, CASE WHEN hit = 1 OR k < 20 THEN 0 ELSE up END, CASE WHEN hit = 1 OR k < 20 THEN 0 ELSE down END, hit
+  FROM (SELECT *, CASE WHEN k >= 20 AND (up > 5 OR down > 5) THEN 1 ELSE 0 END AS hit FROM (SELECT user_id, i, v, k, m, q, greatest(0, pu + z - 1) AS up, greatest(0, pd - z - 1) AS down FROM (SELECT c.user_id, s.i, s.v, c.k, c.m, c.q, c.up AS pu, c.down AS pd,
+    CASE WHEN c.k >= 20 AND c.q / 20 > pow(c.m / 20, 2) THEN (s.v - c.m / 20) / sqrt(c.q / 20 - pow(c.m / 20, 2)) ELSE 0 END AS z FROM c JOIN s ON s.user_id = c.user_id AND s.i = c.i + 1)))) SELECT * FROM c)
+SELECT user_id, CAST(i AS INT) AS place, CAST(hit AS DOUBLE) AS cusum FROM r WHERE i >= 0""",
+        "cwt_coefficients": """, x AS (SELECT unnest([2, 5, 10, 20]) AS w, unnest([0, 1, 2, 3]) AS j), y AS (SELECT user_id, n, w, j, least(10 * w, n) AS m FROM (SELECT DISTINCT user_id, n FROM s) CROSS JOIN x),
+z AS (SELECT y.user_id, k, j, sum(CASE WHEN k + (m - 1) // 2 - i BETWEEN 0 AND m - 1 THEN v * 2 / (sqrt(3 * w) * pow(pi(), 0.25)) * (1 - pow((k + (m - 1) // 2 - i - (m - 1) / 2) / w, 2)) * exp(-pow((k + (m - 1) // 2 - i - (m - 1) / 2) / w, 2) / 2) ELSE 0 END) AS c
+  FROM y JOIN s ON s.user_id = y.user_id CROSS JOIN (SELECT unnest(range(14)) AS k) WHERE k < y.n GROUP BY 1, 2, 3) SELECT user_id, CAST(k * 4 + j AS INT) AS place, round(c, 4) + 0.0 AS cwt_coefficients FROM z""",
+        "fft_coefficients": """, z AS (SELECT user_id, n, k, sum(v * cos(2 * pi() * k * i / n)) AS re, CASE WHEN k = 0 OR 2 * k = n THEN 0 ELSE -sum(v * sin(2 * pi() * k * i / n)) END AS im FROM s, (SELECT unnest(range(0, 2000)) AS k) WHERE k <= n // 2 GROUP BY 1, 2, 3),
+o AS (SELECT user_id, n // 2 + 1 AS m, k, unnest([re, im, degrees(atan2(im, re))]) AS x, unnest([0, 1, 2]) AS part FROM z) SELECT user_id, CAST(part * m + k AS INT) AS place, round(x, 4) + 0.0 AS fft_coefficients FROM o""",
+        "spkt_welch_density": _WELCH + " SELECT user_id, CAST(k AS INT) AS place, round(x, 4) + 0.0 AS spkt_welch_density FROM d WHERE k < 8",
+        "fourier_entropy": _WELCH + """, y AS (SELECT d.user_id, w, x / max(x) OVER e AS p, min(x) OVER e / max(x) OVER e AS low, count(*) OVER e AS m FROM d JOIN u ON u.user_id = d.user_id WINDOW e AS (PARTITION BY d.user_id)),
+bins AS (SELECT user_id, m, least(floor((p - low) / (1 - low) * 10), 9) AS bin, count(*) AS k FROM y GROUP BY 1, 2, 3) SELECT user_id, 0 AS place, round(-sum(k / m * ln(k / m)), 6) + 0.0 AS fourier_entropy FROM bins GROUP BY 1""",
+        "lempel_ziv_complexity": """, r AS (WITH RECURSIVE c AS (SELECT user_id, CAST(-1 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS seen, '' AS cur FROM s WHERE i = 0
+  UNION ALL SELECT user_id, i, CASE WHEN list_contains(seen, now) THEN seen ELSE list_append(seen, now) END, CASE WHEN list_contains(seen, now) THEN now ELSE '' END FROM (SELECT c.user_id, s.i, seen, cur || CASE WHEN s.v > 20 THEN '1' ELSE '0' END AS now FROM c JOIN s ON s.user_id = c.user_id AND s.i = c.i + 1)) SELECT * FROM c)
+SELECT user_id, 0 AS place, round(len(seen) / (i + 1), 9) AS lempel_ziv_complexity FROM r WHERE i >= 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1""",
+    }
+    # the change on the level before, two earlier changes and a constant; the level's part by what the others leave
+    part = lambda a, b: f"({a}{b} - ({a}1 * (c22 * {b}1 - c12 * {b}2) + {a}2 * (c11 * {b}2 - c12 * {b}1)) / (c11 * c22 - c12 * c12))"
+    out["augmented_dickey_fuller"] = f""", x AS (SELECT user_id, n, i, d AS y, l1 AS x, lag(d, 1) OVER o AS d1, lag(d, 2) OVER o AS d2 FROM s WINDOW o AS (PARTITION BY user_id ORDER BY i)),
+c AS (SELECT user_id, count(*) AS k, var_pop(d1) AS c11, var_pop(d2) AS c22, covar_pop(d1, d2) AS c12, covar_pop(x, d1) AS x1, covar_pop(x, d2) AS x2, covar_pop(y, d1) AS y1, covar_pop(y, d2) AS y2, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy FROM x WHERE i >= 3 AND n >= 9 GROUP BY 1),
+t AS (SELECT user_id, k, {part("x", "x")} AS sxx, {part("y", "y")} AS syy, {part("x", "y")} AS sxy FROM c)
+SELECT user_id, 0 AS place, round(sxy / sxx / sqrt((syy - sxy * sxy / sxx) / (k - 4) / sxx), 4) AS augmented_dickey_fuller FROM t"""
+    return {f"feat_{n}": one(n, x) for n, x in out.items()}
+
+
 def _feature(spark: SparkSession, d: str, **some: f.Feature) -> DataFrame:
     return f.extract(table(spark, d, "events"), "user_id", "ts", "value", some)
 
@@ -125,7 +173,8 @@ def _streak(name: str) -> Q:
 def _kernel(name: str) -> Q:
     def run(spark: SparkSession, d: str) -> DataFrame:
         out = k.extract_arrays(table(spark, d, "events"), "user_id", "ts", "value", {name: KERNELS[name]})
-        return out.select("user_id", F.posexplode(name).alias("place", name))
+        out = out.select("user_id", F.posexplode(name).alias("place", name))
+        return out.withColumn(name, F.round(name, KERNEL_DIGITS[name]) + 0.0) if name in KERNEL_DIGITS else out
 
     return run
 
@@ -187,7 +236,8 @@ def queries() -> dict[str, Q]:
 
 def oracle_sql() -> dict[str, str]:
     expr = lambda n: f"round({PLAIN[n][1]}, {PLAIN[n][2]})" if PLAIN[n][2] is not None else PLAIN[n][1]
-    out = {f"feat_{n}": f"{SERIES} SELECT user_id, {expr(n)} AS {n} FROM s GROUP BY user_id" for n in PLAIN}
+    out = _kernel_sql()
+    out |= {f"feat_{n}": f"{SERIES} SELECT user_id, {expr(n)} AS {n} FROM s GROUP BY user_id" for n in PLAIN}
     out |= {f"feat_{n}": SERIES + STREAKS.format(flag=x[1], name=n) for n, x in STREAK_FEATURES.items()}
     out["feat_linear_trend"] = f"{SERIES} SELECT user_id, round(regr_slope(v, i), 5) AS slope, round(regr_intercept(v, i), 4) AS intercept, round(regr_syy(v, i) - regr_slope(v, i) * regr_sxy(v, i), 2) AS rss FROM s GROUP BY 1"
     out["feat_streak_length_stats"] = (
