@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegrid.operators import evaluation, forecasting, metrics, presentation, seasonality, splits, transforms
+from tidegrid.plans.least_squares_sql import least_squares
 from tidegrid.sources.panels import table
 
 NATIONS = range(25)  # fixed values: the nation keys
@@ -55,6 +56,17 @@ def _back(transform: Callable[[], transforms.Transform], digits: int = 3) -> Q:
     return run
 
 
+def _lambda(transform: Callable[[], transforms.Transform], s: SparkSession, d: str) -> DataFrame:
+    """The likeliest power per entity."""
+    return rounded(transform().fit(monthly(s, d)).params.select("entity", F.col("m__value").alias("lambda")), 3)
+
+
+#: Golden section on [-2, 2] of a score of x over each entity's list zs, 40 steps.
+GOLDEN = """, z AS ({of}), r AS (WITH RECURSIVE t AS (SELECT entity, zs, 0 AS k, -2.0::DOUBLE AS a, 2.0::DOUBLE AS b FROM z
+  UNION ALL SELECT entity, zs, k + 1, CASE WHEN fc < fd THEN a ELSE c END, CASE WHEN fc < fd THEN d ELSE b END FROM (SELECT *, (SELECT {score} FROM (SELECT c AS x)) AS fc, (SELECT {score} FROM (SELECT d AS x)) AS fd FROM (SELECT *, b - 0.6180339887498949 * (b - a) AS c, a + 0.6180339887498949 * (b - a) AS d FROM t WHERE k < 40))) SELECT * FROM t)
+SELECT entity, round((a + b) / 2, 3) + 0.0 AS lambda FROM r WHERE k = 40"""
+
+
 def _impute(method: str) -> Q:
     return lambda s, d: rounded(transforms.impute(method)(bars(s, d)), 5)
 
@@ -105,13 +117,14 @@ def _naive_interval(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Data
 
 def metric_crps(s: SparkSession, d: str) -> DataFrame:
     m = monthly(s, d)
-    return rounded(metrics.crps(m, lagged(m), m.withColumn("value", F.col("value") * 0.1)), 3)
+    return rounded(metrics.crps(m, lagged(m), m.withColumn("value", F.col("value") * 0.1)), 1)
 
 
 def score_backtest(s: SparkSession, d: str) -> DataFrame:
     m = monthly(s, d)
     told, _ = forecasting.backtest(forecasting.naive("1mo"), m, 3, 4, 2)
-    return rounded(metrics.score_backtest(m, told, m), 4)
+    out = metrics.score_backtest(m, told, m)
+    return rounded(out, 4, *[c for c in out.columns if c != "mse"]).withColumn("mse", F.round("mse", -3))
 
 
 def _forecast(make: Callable[[], forecasting.Forecaster], fh: int, digits: int = 2) -> Q:
@@ -127,7 +140,7 @@ def fc_exogenous(s: SparkSession, d: str) -> DataFrame:
     months = m.select("month").distinct().unionByName(seasonality.future_of(m, 6, "1mo").select("month").distinct()).distinct()
     k = F.month("month") - 1
     X = months.select("month", F.cos(k * 0.5235987755982988).alias("cos"), F.sin(k * 0.5235987755982988).alias("sin"))
-    return rounded(forecasting.ridge("1mo", 6, 1.0)(m, X).forecast(6, X), 2)
+    return rounded(forecasting.ridge("1mo", 6, 1.0)(m, X).forecast(6, X), 0)
 
 
 def fc_transformed(s: SparkSession, d: str) -> DataFrame:
@@ -158,6 +171,21 @@ E = "SELECT entity, month, "
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")  # fixed values: the types that occur
 W = "(PARTITION BY entity ORDER BY month)"
 
+
+
+def recursive(lags: int, fh: int, ridge: float = 0.0, features: tuple[str, ...] = ()) -> str:
+    """One model of `lags` lags (and of `features` of the month) for all nations, forecasts fed back as lags for fh steps."""
+    names = [f"l{k}" for k in range(1, lags + 1)]
+    extra = [f"x{k}" for k in range(1, len(features) + 1)]
+    given = "".join(f", {f} AS {x}" for f, x in zip(features, extra, strict=True))
+    rows = ", ".join(f"lag(value, {k}) OVER {W} AS l{k}" for k in range(1, lags + 1))
+    step = " + ".join(["b0", *[f"b{k} * l[{k}]" for k in range(1, lags + 1)], *[f"b{lags + k} * {f}" for k, f in enumerate(features, 1)]])
+    return f""", d AS (SELECT value AS y, {rows}{given} FROM m), {least_squares("d", "y", [*names, *extra], (), ridge)},
+    f AS (SELECT entity, max(month) AS month, list(value ORDER BY month DESC)[1:{lags}] AS l FROM m GROUP BY 1),
+    t AS (WITH RECURSIVE t AS (SELECT entity, month, 0 AS h, l FROM f UNION ALL SELECT entity, month, h, list_prepend({step}, l)[1:{lags}] FROM (SELECT entity, CAST(month + INTERVAL 1 MONTH AS DATE) AS month, h + 1 AS h, l FROM t WHERE h < {fh}) CROSS JOIN w) SELECT * FROM t)
+    SELECT entity, month, round(l[1], 0) AS value FROM t WHERE h > 0"""
+
+
 # Every order; movable days by their span of days in the month (isodow: 1 is Monday).
 US_HOLIDAYS = """SELECT o_orderkey, o_orderdate, CASE WHEN m = 1 AND d = 1 THEN 'new_years_day' WHEN m = 1 AND w = 1 AND d BETWEEN 15 AND 21 THEN 'martin_luther_king_jr_day' WHEN m = 2 AND w = 1 AND d BETWEEN 15 AND 21 THEN 'washingtons_birthday'
   WHEN m = 5 AND w = 1 AND d >= 25 THEN 'memorial_day' WHEN m = 6 AND d = 19 AND y >= 2021 THEN 'juneteenth_national_independence_day' WHEN m = 7 AND d = 4 THEN 'independence_day' WHEN m = 9 AND w = 1 AND d <= 7 THEN 'labor_day'
@@ -191,13 +219,22 @@ QUERIES: dict[str, tuple[Q, str | None]] = {
     "prep_diff": (_on_m(lambda: transforms.diff(1, 12), 2), M + f" SELECT entity, month, round(v, 2) AS value FROM (SELECT *, value - lag(value, 12) OVER {W} AS v, row_number() OVER {W} AS i FROM m) WHERE i > 12"),
     "prep_diff_inverse": (_back(lambda: transforms.diff(2, 3), 2), M + f" SELECT entity, month, round(value, 2) AS value FROM (SELECT *, row_number() OVER {W} AS i FROM m) WHERE i > 6"),
     "prep_boxcox": (_on_m(transforms.boxcox), None),
+    "prep_boxcox_lambda": (lambda s, d: _lambda(transforms.boxcox, s, d), M + GOLDEN.format(score="ln(list_aggregate(list_transform(zs, lambda z: CASE WHEN abs(x) > 1e-9 THEN (exp(x * z) - 1) / x ELSE z END), 'var_pop'))", of="SELECT entity, list(ln(value) - g) AS zs FROM (SELECT *, avg(ln(value)) OVER (PARTITION BY entity) AS g FROM m WHERE value > 0) GROUP BY 1")),
+    "prep_yeojohnson_lambda": (
+        lambda s, d: _lambda(transforms.yeojohnson, s, d),
+        M + GOLDEN.format(score="0.5 * ln(list_aggregate(list_transform(zs, lambda z: CASE WHEN abs(x) > 1e-9 THEN (exp(x * z) - 1) / x ELSE z END), 'var_pop')) - (x - 1) * list_avg(zs)", of="SELECT entity, list(ln(1 + value)) AS zs FROM m GROUP BY 1"),
+    ),
     "prep_boxcox_inverse": (_back(transforms.boxcox, 2), M + " SELECT entity, month, round(value, 2) AS value FROM m"),
     "prep_yeojohnson": (_on_m(transforms.yeojohnson), None),
     "prep_yeojohnson_inverse": (_back(transforms.yeojohnson, 2), M + " SELECT entity, month, round(value, 2) AS value FROM m"),
     "prep_log1p": (_on_m(transforms.log1p, 8), M + " SELECT entity, month, round(ln(1 + value), 8) AS value FROM m"),
     "prep_detrend": (_on_m(lambda: transforms.detrend("1d"), 1), M + ", t AS (SELECT *, date_diff('day', min(month) OVER (PARTITION BY entity), month) AS t FROM m) SELECT entity, month, round(value - (regr_intercept(value, t) OVER e + regr_slope(value, t) OVER e * t), 1) AS value FROM t WINDOW e AS (PARTITION BY entity)"),
     "prep_detrend_inverse": (_back(lambda: transforms.detrend("1d"), 2), M + " SELECT entity, month, round(value, 2) AS value FROM m"),
-    "prep_deseasonalize_fourier": (_on_m(lambda: transforms.deseasonalize_fourier(12, 2), 2), None),
+    "prep_deseasonalize_fourier": (
+        _on_m(lambda: transforms.deseasonalize_fourier(12, 2), 2),
+        M + f", x AS (SELECT entity, month, value, cos(2 * pi() * i / 12) AS c1, sin(2 * pi() * i / 12) AS s1, cos(4 * pi() * i / 12) AS c2, sin(4 * pi() * i / 12) AS s2 FROM (SELECT *, (row_number() OVER {W} - 1) % 12 AS i FROM m)), " + least_squares("x", "value", ["c1", "s1", "c2", "s2"], ["entity"])
+        + " SELECT entity, month, round(value - b0 - b1 * c1 - b2 * s1 - b3 * c2 - b4 * s2, 2) + 0.0 AS value FROM x JOIN w USING (entity)",
+    ),
     "prep_deseasonalize_fourier_inverse": (_back(lambda: transforms.deseasonalize_fourier(12, 2), 2), M + " SELECT entity, month, round(value, 2) AS value FROM m"),
     "prep_fractional_diff": (_on_m(lambda: transforms.fractional_diff(0.5, window_size=3), 5), M + f" SELECT entity, month, round(value - 0.5 * lag(value, 1) OVER {W} - 0.125 * lag(value, 2) OVER {W}, 5) AS value FROM m"),
     "cal_calendar_effects": (
@@ -225,21 +262,40 @@ QUERIES: dict[str, tuple[Q, str | None]] = {
     "cv_long_enough": (lambda s, d: splits.long_enough(bars(s, d), 90), B + " SELECT b.* FROM b JOIN (SELECT series_id FROM b GROUP BY 1 HAVING count(*) >= 90) USING (series_id)"),
     "metric_mase": (lambda s, d: (lambda m: rounded(metrics.mase(m, lagged(m), m, 12), 5))(monthly(s, d)), PAIRS + "," + SCALE + " SELECT entity, round(a / a12, 5) AS mase FROM d JOIN l USING (entity)"),
     "metric_rmsse": (lambda s, d: (lambda m: rounded(metrics.rmsse(m, lagged(m), m, 12), 5))(monthly(s, d)), PAIRS + "," + SCALE + " SELECT entity, round(sqrt(s / s12), 5) AS rmsse FROM d JOIN l USING (entity)"),
-    "metric_crps": (metric_crps, None),
+    # the normal distribution by Simpson's rule over 2000 pieces
+    "metric_crps": (
+        metric_crps,
+        PAIRS + """, z AS (SELECT entity, month, 0.1 * value AS sd, (value - pred) / (0.1 * value) AS z FROM p WHERE pred IS NOT NULL AND value > 0), h AS (SELECT k, CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END AS c FROM (SELECT unnest(range(0, 2001)) AS k)),
+        f AS (SELECT entity, month, max(sd) AS sd, max(z) AS z, 0.5 + max(zc) / 6000 * sum(c * exp(-pow(zc * k / 2000, 2) / 2)) / sqrt(2 * pi()) AS phi FROM (SELECT *, greatest(-10, least(10, z)) AS zc FROM z) CROSS JOIN h GROUP BY 1, 2) SELECT entity, round(avg(sd * (z * (2 * phi - 1) + 2 * exp(-z * z / 2) / sqrt(2 * pi()) - 1 / sqrt(pi()))), 1) AS crps FROM f GROUP BY 1""",
+    ),
     "metric_interval_coverage": (lambda s, d: rounded(metrics.interval_coverage(*_naive_interval(s, d)), 6), PAIRS + " SELECT entity, round(avg(CASE WHEN pred IS NULL THEN NULL WHEN value BETWEEN pred * 0.9 AND pred * 1.1 THEN 1.0 ELSE 0.0 END), 6) AS interval_coverage FROM p GROUP BY 1"),
     "metric_winkler_score": (lambda s, d: rounded(metrics.winkler_score(*_naive_interval(s, d), 0.1), 6), PAIRS + " SELECT entity, round(avg(pred * 1.1 - pred * 0.9 + 20 * CASE WHEN value < pred * 0.9 THEN pred * 0.9 - value WHEN value > pred * 1.1 THEN value - pred * 1.1 ELSE 0 END), 6) AS winkler FROM p WHERE pred IS NOT NULL GROUP BY 1"),
     "score_forecast": (
-        lambda s, d: (lambda m: rounded(metrics.score_forecast(m, lagged(m), m, 12).drop("mse"), 8))(monthly(s, d)),
-        PAIRS + "," + SCALE + " SELECT entity, round(avg(abs(pred - value)), 8) AS mae, round(max(a) / max(a12), 8) AS mase, round(coalesce(sum(pred) FILTER (WHERE pred > value), 0), 8) AS overforecast, round(sqrt(avg((pred - value) * (pred - value))), 8) AS rmse, round(sqrt(max(s) / max(s12)), 8) AS rmsse, round(sum(abs(pred - value)) / sum(pred + value), 8) AS smape, round(coalesce(sum(pred) FILTER (WHERE pred < value), 0), 8) AS underforecast FROM p JOIN d USING (entity) JOIN l USING (entity) GROUP BY 1",
+        lambda s, d: (lambda m: rounded(metrics.score_forecast(m, lagged(m), m, 12), 6, "mae", "mase", "overforecast", "rmse", "rmsse", "smape", "underforecast").withColumn("mse", F.round("mse", -3)))(monthly(s, d)),
+        PAIRS + "," + SCALE + " SELECT entity, round(avg(abs(pred - value)), 6) AS mae, round(max(a) / max(a12), 6) AS mase, round(coalesce(sum(pred) FILTER (WHERE pred > value), 0), 6) AS overforecast, round(avg((pred - value) * (pred - value)), -3) AS mse, round(sqrt(avg((pred - value) * (pred - value))), 6) AS rmse, round(sqrt(max(s) / max(s12)), 6) AS rmsse, round(sum(abs(pred - value)) / sum(pred + value), 6) AS smape, round(coalesce(sum(pred) FILTER (WHERE pred < value), 0), 6) AS underforecast FROM p JOIN d USING (entity) JOIN l USING (entity) GROUP BY 1",
+    ),
+    "score_backtest": (
+        score_backtest,
+        BT + f""", p AS (SELECT entity, month, avg(pred) AS pred FROM r GROUP BY 1, 2), q AS (SELECT entity, m.value, pred FROM m JOIN p USING (entity, month)), g AS (SELECT entity, avg(abs(value - y1)) AS a1, avg(pow(value - y1, 2)) AS s1 FROM (SELECT *, lag(value) OVER {W} AS y1 FROM m) GROUP BY 1)
+        SELECT entity, round(avg(abs(pred - value)), 4) AS mae, round(avg(abs(pred - value)) / max(a1), 4) AS mase, round(avg(pow(pred - value, 2)), -3) AS mse, round(coalesce(sum(pred) FILTER (WHERE pred > value), 0), 4) AS overforecast, round(sqrt(avg(pow(pred - value, 2))), 4) AS rmse, round(sqrt(avg(pow(pred - value, 2)) / max(s1)), 4) AS rmsse,
+          round(sum(abs(pred - value)) / sum(pred + value), 4) AS smape, round(coalesce(sum(pred) FILTER (WHERE pred < value), 0), 4) AS underforecast FROM q JOIN g USING (entity) GROUP BY 1""",
     ),
-    "score_backtest": (score_backtest, None),
     "score_summary": (lambda s, d: (lambda m: rounded(metrics.summarize_scores(metrics.point_metrics(m, lagged(m), ["mae", "smape"])), 6))(monthly(s, d)), PAIRS + ", x AS (SELECT entity, avg(abs(pred - value)) AS mae, sum(abs(pred - value)) / sum(pred + value) AS smape FROM p GROUP BY 1) SELECT round(avg(mae), 6) AS mae, round(avg(smape), 6) AS smape FROM x"),
     "eval_acf": (
-        lambda s, d: rounded(evaluation.acf(monthly(s, d), 3).select("entity", "lag", "acf"), 5),
-        M + f", d AS (SELECT entity, month, value - avg(value) OVER (PARTITION BY entity) AS d FROM m), l AS (SELECT *, lag(d, 1) OVER {W} AS l1, lag(d, 2) OVER {W} AS l2, lag(d, 3) OVER {W} AS l3 FROM d), a AS (SELECT entity, sum(d*d) AS t, [sum(d*d), sum(d*l1), sum(d*l2), sum(d*l3)] AS r FROM l GROUP BY 1), k AS (SELECT unnest(range(4)) AS k) SELECT entity, CAST(k AS INT) AS lag, round(r[k + 1] / t, 5) AS acf FROM a CROSS JOIN k",
+        lambda s, d: rounded(evaluation.acf(monthly(s, d), 3), 5),
+        M + f""", d AS (SELECT entity, month, value - avg(value) OVER (PARTITION BY entity) AS d FROM m), l AS (SELECT *, lag(d, 1) OVER {W} AS l1, lag(d, 2) OVER {W} AS l2, lag(d, 3) OVER {W} AS l3 FROM d),
+        a AS (SELECT entity, count(*) AS n, sum(d*d) AS t, [sum(d*d), sum(d*l1), sum(d*l2), sum(d*l3)] AS r FROM l GROUP BY 1), k AS (SELECT unnest(range(4)) AS k),
+        h AS (SELECT entity, k, r[k + 1] / t AS x, CASE WHEN k > 0 THEN 1.959963984540054 * sqrt((1 + 2 * (CASE WHEN k > 1 THEN pow(r[2] / t, 2) ELSE 0 END + CASE WHEN k > 2 THEN pow(r[3] / t, 2) ELSE 0 END)) / n) ELSE 0 END AS half FROM a CROSS JOIN k)
+        SELECT entity, CAST(k AS INT) AS lag, round(x, 5) AS acf, round(x - half, 5) AS lower, round(x + half, 5) AS upper FROM h""",
     ),
     "eval_ljung_box": (lambda s, d: rounded(evaluation.ljung_box_test(monthly(s, d), 2), 3), M + f", d AS (SELECT entity, month, value - avg(value) OVER (PARTITION BY entity) AS d FROM m), l AS (SELECT *, lag(d, 1) OVER {W} AS l1, lag(d, 2) OVER {W} AS l2 FROM d), a AS (SELECT entity, count(*) AS n, sum(d*l1) / sum(d*d) AS r1, sum(d*l2) / sum(d*d) AS r2 FROM l GROUP BY 1) SELECT entity, 1 AS lag, round(n * (n + 2) * r1 * r1 / (n - 1), 3) AS q FROM a UNION ALL SELECT entity, 2, round(n * (n + 2) * (r1 * r1 / (n - 1) + r2 * r2 / (n - 2)), 3) FROM a"),
-    "eval_normality": (lambda s, d: rounded(evaluation.normality_test(monthly(s, d)), 4), None),
+    "eval_normality": (
+        lambda s, d: rounded(evaluation.normality_test(monthly(s, d)), 4),
+        M + """, d AS (SELECT entity, value - avg(value) OVER (PARTITION BY entity) AS d FROM m), a AS (SELECT entity, count(*)::DOUBLE AS n, avg(d*d) AS m2, avg(d*d*d) AS m3, avg(d*d*d*d) AS m4 FROM d GROUP BY 1), b AS (SELECT entity, n, m3 / pow(m2, 1.5) AS g1, m4 / m2 / m2 AS b2 FROM a WHERE n >= 8 AND m2 > 0),
+        c AS (SELECT *, g1 * sqrt((n+1)*(n+3)/(6*(n-2))) AS y, 3*(n*n+27*n-70)*(n+1)*(n+3)/((n-2)*(n+5)*(n+7)*(n+9)) AS be, 3*(n-1)/(n+1) AS e, 24*n*(n-2)*(n-3)/((n+1)*(n+1)*(n+3)*(n+5)) AS va, 6*(n*n-5*n+2)/((n+7)*(n+9))*sqrt(6*(n+3)*(n+5)/(n*(n-2)*(n-3))) AS sk FROM b),
+        f AS (SELECT *, sqrt(2*(be-1))-1 AS w2, (b2 - e) / sqrt(va) AS x, 6 + 8/sk*(2/sk + sqrt(1 + 4/(sk*sk))) AS ka FROM c), g AS (SELECT *, asinh(y / sqrt(2/(w2-1))) / sqrt(0.5*ln(w2)) AS z1, (1 - 2/ka) / (1 + x*sqrt(2/(ka-4))) AS t FROM f)
+        SELECT entity, round(z1*z1 + pow((1 - 2/(9*ka) - sign(t)*pow(abs(t), 1.0/3)) / sqrt(2/(9*ka)), 2), 4) AS k2 FROM g""",
+    ),
     "rank_point_forecasts": (lambda s, d: (lambda m: rounded(evaluation.rank_point_forecasts(m, lagged(m), "smape"), 6))(monthly(s, d)), PAIRS + " SELECT entity, round(sum(abs(pred - value)) / sum(pred + value), 6) AS smape FROM p GROUP BY 1"),
     "rank_residuals": (lambda s, d: (lambda m: rounded(evaluation.rank_residuals(forecasting.backtest(forecasting.naive("1mo"), m, 3, 4, 2)[1].select("entity", "month", "y_resid"), "abs_bias"), 8))(monthly(s, d)), BT + " SELECT entity, round(abs(avg(value - pred)), 8) AS abs_bias FROM r GROUP BY 1"),
     "rank_fva": (
@@ -248,19 +304,19 @@ QUERIES: dict[str, tuple[Q, str | None]] = {
     ),
     "fc_naive": (_forecast(lambda: forecasting.naive("1mo"), 6), M + FUTURE.format(6) + " SELECT entity, CAST(last + CAST(h AS INT) * INTERVAL 1 MONTH AS DATE) AS month, round(v, 2) AS value FROM f CROSS JOIN h"),
     "fc_snaive": (_forecast(lambda: forecasting.snaive("1mo", 12), 14), M + FUTURE.format(14) + f", k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY month DESC) AS k FROM m) SELECT f.entity, CAST(last + CAST(h AS INT) * INTERVAL 1 MONTH AS DATE) AS month, round(k.value, 2) AS value FROM f CROSS JOIN h JOIN k ON k.entity = f.entity AND k.k = 12 - (h - 1) % 12"),
-    "fc_linear_model": (_forecast(lambda: forecasting.linear_model("1mo", 1), 1, 1), M + FUTURE.format(1) + f", x AS (SELECT value AS y, lag(value) OVER {W} AS l FROM m), w AS (SELECT regr_slope(y, l) AS b, regr_intercept(y, l) AS a FROM x WHERE l IS NOT NULL) SELECT entity, CAST(last + INTERVAL 1 MONTH AS DATE) AS month, round(a + b * v, 1) AS value FROM f CROSS JOIN w"),
+    "fc_linear_model": (_forecast(lambda: forecasting.linear_model("1mo", 3), 6, 0), M + recursive(3, 6)),
     "fc_linear_direct": (
         _forecast(lambda: forecasting.linear_model("1mo", 1, strategy="direct", max_horizons=2), 2, 1),
         M + FUTURE.format(2) + f", x AS (SELECT value AS y, lag(value, 1) OVER {W} AS l1, lag(value, 2) OVER {W} AS l2 FROM m), w AS (SELECT 1 AS h, regr_slope(y, l1) AS b, regr_intercept(y, l1) AS a FROM x WHERE l2 IS NOT NULL UNION ALL SELECT 2, regr_slope(y, l2), regr_intercept(y, l2) FROM x WHERE l2 IS NOT NULL) SELECT entity, CAST(last + CAST(w.h AS INT) * INTERVAL 1 MONTH AS DATE) AS month, round(a + b * v, 1) AS value FROM f CROSS JOIN w",
     ),
     "fc_linear_ensemble": (_forecast(lambda: forecasting.linear_model("1mo", 6, strategy="ensemble", max_horizons=6), 6), None),
-    "fc_ridge": (_forecast(lambda: forecasting.ridge("1mo", 6), 6), None),
+    "fc_ridge": (_forecast(lambda: forecasting.ridge("1mo", 6), 6, 0), M + recursive(6, 6, 1.0)),
     "fc_lasso": (_forecast(lambda: forecasting.lasso("1mo", 6), 6), None),
     "fc_elastic_net": (_forecast(lambda: forecasting.elastic_net("1mo", 6), 6), None),
     "fc_ridge_cv": (_forecast(lambda: forecasting.ridge_cv("1mo", 6), 6), None),
     "fc_lasso_cv": (_forecast(lambda: forecasting.lasso_cv("1mo", 6), 6), None),
     "fc_elastic_net_cv": (_forecast(lambda: forecasting.elastic_net_cv("1mo", 6), 6), None),
-    "fc_exogenous": (fc_exogenous, None),
+    "fc_exogenous": (fc_exogenous, M + recursive(6, 6, 1.0, ("cos((month(month) - 1) * 0.5235987755982988)", "sin((month(month) - 1) * 0.5235987755982988)"))),
     "fc_transformed": (fc_transformed, None),
     "fc_boosted_trees": (_forecast(lambda: forecasting.boosted_trees("1mo", 6, 2, maxIter=5), 2), None),
     "fc_glm_poisson": (_forecast(lambda: forecasting.glm("1mo", 3, "poisson"), 1), None),
