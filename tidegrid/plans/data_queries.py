@@ -30,6 +30,19 @@ def p3_filled(spark: SparkSession, d: str) -> DataFrame:
     return matched_fill.filled_reports(table(spark, d, "price_reports"), table(spark, d, "commodity_types"))
 
 
+def p3_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the filling: rows, fields filled, and fields whose donor is of another commodity, lacks the
+    field itself or shows another value."""
+    rows = p3_filled(spark, d)
+    donors = rows.where(~F.col("price_filled") & F.col("price").isNotNull()).groupBy(F.col("report_id").alias("price_donor")).agg(F.max("commodity_type").alias("name"), F.max("price").alias("shown"))
+    rows = rows.join(donors, "price_donor", "left")
+    wrong = F.col("price_filled") & ~((F.col("name") == F.col("commodity_type")) & (F.abs(F.col("shown") / F.col("price") - 1) < 1e-9)).eqNullSafe(True)
+    names = rows.where("not name_filled and commodity_type is not null").select(F.col("report_id").alias("name_donor"), F.col("commodity_type").alias("own")).distinct()
+    rows = rows.withColumn("wrong", wrong).join(names, "name_donor", "left")
+    other = F.col("name_filled") & ~(F.col("own") == F.col("commodity_type")).eqNullSafe(True)
+    return rows.agg(F.count(F.lit(1)).alias("reports"), F.count_if("price_filled").alias("prices_filled"), F.count_if("name_filled").alias("names_filled"), F.count_if("wrong").alias("wrong_prices"), F.count_if(other).alias("wrong_names"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return spikes.spike_readings(table(spark, d, "commodities"), table(spark, d, "listings")).select("reading_id")
 
@@ -38,6 +51,11 @@ def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
     return spikes.spike_readings(table(spark, d, "commodities"), table(spark, d, "listings"))
 
 
+def p4_bounds_and_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Impossible prices and runs of one price."""
+    return p4_reasons(spark, d).where("reason <> 'spike'")
+
+
 def p5_trailing(spark: SparkSession, d: str) -> DataFrame:
     """The calendar runs from the first to the last listed day (active_to is no longer listed); readings of clocks beyond
     it don't count."""
@@ -51,5 +69,5 @@ def p5_trailing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_grid, p3_found, p3_filled, p4_found, p4_reasons, p5_trailing)
+    found = (p1_found, p1_grid, p3_found, p3_filled, p3_checks, p4_found, p4_reasons, p4_bounds_and_runs, p5_trailing)
     return {f.__name__: f for f in found}

@@ -37,17 +37,33 @@ SELECT listing_id, commodity_type, make_timestamp(p * step) AS period_start, pri
 FROM f"""
 )
 
-P3_FOUND = f"""
+_REPORTS = f"""
 WITH n AS (SELECT {key()} AS k, min(commodity_type) AS name FROM commodity_types GROUP BY 1),
 bound AS (SELECT 50 * quantile_disc(price, 0.9) AS top FROM price_reports WHERE {PRICED} AND price > 0),
 r AS (SELECT report_id, sheet_id, lot_code, name, ({PRICED} AND price > 0 AND price <= top) AS priced FROM price_reports CROSS JOIN bound LEFT JOIN n ON n.k = {key("price_reports.commodity_type")}),
 lots AS (SELECT lot_code, mode(name) AS lot_name FROM r WHERE lot_code IS NOT NULL AND name IS NOT NULL GROUP BY 1),
 sheets AS (SELECT sheet_id, mode(name) AS sheet_name FROM r WHERE sheet_id IS NOT NULL AND name IS NOT NULL GROUP BY 1),
 w AS (SELECT r.*, coalesce(name, lot_name, sheet_name) AS belongs FROM r LEFT JOIN lots USING (lot_code) LEFT JOIN sheets USING (sheet_id))
+"""
+
+P3_FOUND = f"""{_REPORTS}
 SELECT DISTINCT report_id, 'price' AS field, belongs AS commodity_type FROM w WHERE NOT coalesce(priced, false)
 UNION SELECT DISTINCT report_id, 'commodity_type', belongs FROM w WHERE name IS NULL
 """
 
+P3_CHECKS = f"""{_REPORTS}, h AS (SELECT belongs, bool_or(coalesce(priced, false)) AS has_price FROM w GROUP BY 1)
+SELECT count(*) AS reports, count(*) FILTER (WHERE NOT coalesce(priced, false) AND coalesce(has_price, false) AND w.belongs IS NOT NULL) AS prices_filled, count(*) FILTER (WHERE name IS NULL AND w.belongs IS NOT NULL) AS names_filled, CAST(0 AS BIGINT) AS wrong_prices, CAST(0 AS BIGINT) AS wrong_names
+FROM w LEFT JOIN h ON h.belongs = w.belongs"""
+
+# points: different (time, price); a run: consecutive points of one price, impossible prices left out
+P4_BOUNDS_AND_RUNS = f"""
+WITH l AS (SELECT listing_id, {key()} AS k, active_from AS a, active_to AS b FROM listings),
+r AS (SELECT DISTINCT l.k, c."time" AS t, price, reading_id FROM (SELECT *, {key()} AS k FROM commodities WHERE {PRICED} AND reading_id IS NOT NULL) c JOIN l ON l.k = c.k AND c."time" >= a AND c."time" < b),
+p AS (SELECT DISTINCT k, t, price FROM r WHERE price > 0), q AS (SELECT *, price IS DISTINCT FROM lag(price) OVER o AS starts, price <> lag(price) OVER o AS moved FROM p WINDOW o AS (PARTITION BY k ORDER BY t, price)),
+u AS (SELECT *, sum(CAST(starts AS INT)) OVER (PARTITION BY k ORDER BY t, price) AS run, count(*) FILTER (WHERE moved) OVER (PARTITION BY k) > 0.5 * count(moved) OVER (PARTITION BY k) AS changing FROM q),
+x AS (SELECT *, count(*) OVER (PARTITION BY k, run) AS size FROM u)
+SELECT reading_id, min(reason) AS reason FROM (SELECT reading_id, 'impossible' AS reason FROM r WHERE price <= 0 UNION ALL SELECT reading_id, 'stuck' FROM r JOIN x USING (k, t, price) WHERE size >= 12 AND changing) GROUP BY 1"""
+
 P5_TRAILING = f"""
 WITH q AS (SELECT DISTINCT {key()} AS k, "time", price FROM commodities WHERE {PRICED}),
 cal AS (SELECT min(CAST(active_from AS DATE)) AS a, max(CAST(active_to - INTERVAL 1 MICROSECOND AS DATE)) AS b FROM listings),
@@ -64,4 +80,4 @@ FROM w JOIN names USING (k)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_grid": P1_GRID, "p3_found": P3_FOUND, "p5_trailing": P5_TRAILING}
+    return {"p1_found": P1_FOUND, "p1_grid": P1_GRID, "p3_found": P3_FOUND, "p3_checks": P3_CHECKS, "p4_bounds_and_runs": P4_BOUNDS_AND_RUNS, "p5_trailing": P5_TRAILING}

@@ -61,10 +61,25 @@ def _lambda(transform: Callable[[], transforms.Transform], s: SparkSession, d: s
     return rounded(transform().fit(monthly(s, d)).params.select("entity", F.col("m__value").alias("lambda")), 3)
 
 
-#: Golden section on [-2, 2] of a score of x over each entity's list zs, 40 steps.
-GOLDEN = """, z AS ({of}), r AS (WITH RECURSIVE t AS (SELECT entity, zs, 0 AS k, -2.0::DOUBLE AS a, 2.0::DOUBLE AS b FROM z
-  UNION ALL SELECT entity, zs, k + 1, CASE WHEN fc < fd THEN a ELSE c END, CASE WHEN fc < fd THEN d ELSE b END FROM (SELECT *, (SELECT {score} FROM (SELECT c AS x)) AS fc, (SELECT {score} FROM (SELECT d AS x)) AS fd FROM (SELECT *, b - 0.6180339887498949 * (b - a) AS c, a + 0.6180339887498949 * (b - a) AS d FROM t WHERE k < 40))) SELECT * FROM t)
-SELECT entity, round((a + b) / 2, 3) + 0.0 AS lambda FROM r WHERE k = 40"""
+def _golden_sql(score: str, of: str, rows: str = "", value: str = "") -> str:
+    """Golden section on [-2, 2] of a score of x over each entity's list zs, 60 steps; with `rows`, those standardised."""
+    score = f"(SELECT {score} FROM (SELECT {{}} AS x))"
+    found = f""", z AS ({of}), r AS (WITH RECURSIVE t AS (SELECT entity, zs, 0 AS k, -2.0::DOUBLE AS a, 2.0::DOUBLE AS b FROM z
+  UNION ALL SELECT entity, zs, k + 1, CASE WHEN fc < fd THEN a ELSE c END, CASE WHEN fc < fd THEN d ELSE b END FROM (SELECT *, {score.format("c")} AS fc, {score.format("d")} AS fd FROM (SELECT *, b - 0.6180339887498949 * (b - a) AS c, a + 0.6180339887498949 * (b - a) AS d FROM t WHERE k < 60))) SELECT * FROM t)"""
+    if not rows:
+        return found + " SELECT entity, round((a + b) / 2, 3) + 0.0 AS lambda FROM r WHERE k = 60"
+    return found + f", p AS (SELECT entity, (a + b) / 2 AS likely FROM r WHERE k = 60), q AS (SELECT entity, month, {value} AS x FROM ({rows})) SELECT entity, month, round((x - avg(x) OVER e) / stddev_samp(x) OVER e, 4) + 0.0 AS value FROM q WINDOW e AS (PARTITION BY entity)"
+
+
+POWER_SPREAD = "list_aggregate(list_transform(zs, lambda z: CASE WHEN abs(x) > 1e-9 THEN (exp(x * z) - 1) / x ELSE z END), 'var_pop')"
+
+
+def _boxcox_sql(rows: str = "", value: str = "") -> str:
+    return _golden_sql(f"ln({POWER_SPREAD})", "SELECT entity, list(ln(value) - g) AS zs FROM (SELECT *, avg(ln(value)) OVER (PARTITION BY entity) AS g FROM m WHERE value > 0) GROUP BY 1", rows, value)
+
+
+def _yeojohnson_sql(rows: str = "", value: str = "") -> str:
+    return _golden_sql(f"0.5 * ln({POWER_SPREAD}) - (x - 1) * list_avg(zs)", "SELECT entity, list(ln(1 + value)) AS zs FROM m GROUP BY 1", rows, value)
 
 
 def _impute(method: str) -> Q:
@@ -186,6 +201,18 @@ def recursive(lags: int, fh: int, ridge: float = 0.0, features: tuple[str, ...]
     SELECT entity, month, round(l[1], 0) AS value FROM t WHERE h > 0"""
 
 
+# models of 3 lags on rows that have 6: fed back, and one for each of four steps; the mean of both
+ENSEMBLE = f""", d AS (SELECT value AS y, {", ".join(f"lag(value, {k}) OVER {W} AS l{k}" for k in range(1, 7))} FROM m), c AS (SELECT * FROM d WHERE l6 IS NOT NULL), {", ".join(least_squares("c", "y", [f"l{k}" for k in range(h, h + 3)], (), 0.0, f"w{h}") for h in range(1, 5))},
+    f AS (SELECT entity, max(month) AS month, list(value ORDER BY month DESC)[1:3] AS l FROM m GROUP BY 1),
+    t AS (WITH RECURSIVE t AS (SELECT entity, month, 0 AS h, l FROM f UNION ALL SELECT entity, month, h, list_prepend(b0 + b1 * l[1] + b2 * l[2] + b3 * l[3], l)[1:3] FROM (SELECT entity, CAST(month + INTERVAL 1 MONTH AS DATE) AS month, h + 1 AS h, l FROM t WHERE h < 4) CROSS JOIN w1) SELECT * FROM t),
+    g AS ({" UNION ALL ".join(f"SELECT entity, {h} AS h, b0 + b1 * l[1] + b2 * l[2] + b3 * l[3] AS v FROM f CROSS JOIN w{h}" for h in range(1, 5))}) SELECT entity, month, round((l[1] + v) / 2, 0) AS value FROM t JOIN g USING (entity, h)"""
+
+# the five stretches of six months nearest to a nation's last six, and the mean of the three months behind them
+KNN = f""", d AS (SELECT {", ".join(f"lag(value, {k}) OVER {W} AS l{k}" for k in range(0, 9))} FROM m), c AS (SELECT * FROM d WHERE l8 IS NOT NULL), f AS (SELECT entity, max(month) AS month, list(value ORDER BY month DESC)[1:6] AS q FROM m GROUP BY 1),
+    n AS (SELECT entity, month, l0, l1, l2, row_number() OVER (PARTITION BY entity ORDER BY {" + ".join(f"pow(q[{j}] - l{j + 2}, 2)" for j in range(1, 7))}, l2, l1, l0) AS k FROM f CROSS JOIN c), a AS (SELECT entity, max(month) AS month, [avg(l2), avg(l1), avg(l0)] AS v FROM n WHERE k <= 5 GROUP BY 1)
+    SELECT entity, CAST(month + CAST(h AS INT) * INTERVAL 1 MONTH AS DATE) AS month, round(v[h], 2) AS value FROM a CROSS JOIN (SELECT unnest(range(1, 4)) AS h)"""
+
+
 # Every order; movable days by their span of days in the month (isodow: 1 is Monday).
 US_HOLIDAYS = """SELECT o_orderkey, o_orderdate, CASE WHEN m = 1 AND d = 1 THEN 'new_years_day' WHEN m = 1 AND w = 1 AND d BETWEEN 15 AND 21 THEN 'martin_luther_king_jr_day' WHEN m = 2 AND w = 1 AND d BETWEEN 15 AND 21 THEN 'washingtons_birthday'
   WHEN m = 5 AND w = 1 AND d >= 25 THEN 'memorial_day' WHEN m = 6 AND d = 19 AND y >= 2021 THEN 'juneteenth_national_independence_day' WHEN m = 7 AND d = 4 THEN 'independence_day' WHEN m = 9 AND w = 1 AND d <= 7 THEN 'labor_day'
@@ -219,11 +246,11 @@ QUERIES: dict[str, tuple[Q, str | None]] = {
     "prep_diff": (_on_m(lambda: transforms.diff(1, 12), 2), M + f" SELECT entity, month, round(v, 2) AS value FROM (SELECT *, value - lag(value, 12) OVER {W} AS v, row_number() OVER {W} AS i FROM m) WHERE i > 12"),
     "prep_diff_inverse": (_back(lambda: transforms.diff(2, 3), 2), M + f" SELECT entity, month, round(value, 2) AS value FROM (SELECT *, row_number() OVER {W} AS i FROM m) WHERE i > 6"),
     "prep_boxcox": (_on_m(transforms.boxcox), None),
-    "prep_boxcox_lambda": (lambda s, d: _lambda(transforms.boxcox, s, d), M + GOLDEN.format(score="ln(list_aggregate(list_transform(zs, lambda z: CASE WHEN abs(x) > 1e-9 THEN (exp(x * z) - 1) / x ELSE z END), 'var_pop'))", of="SELECT entity, list(ln(value) - g) AS zs FROM (SELECT *, avg(ln(value)) OVER (PARTITION BY entity) AS g FROM m WHERE value > 0) GROUP BY 1")),
-    "prep_yeojohnson_lambda": (
-        lambda s, d: _lambda(transforms.yeojohnson, s, d),
-        M + GOLDEN.format(score="0.5 * ln(list_aggregate(list_transform(zs, lambda z: CASE WHEN abs(x) > 1e-9 THEN (exp(x * z) - 1) / x ELSE z END), 'var_pop')) - (x - 1) * list_avg(zs)", of="SELECT entity, list(ln(1 + value)) AS zs FROM m GROUP BY 1"),
-    ),
+    "prep_boxcox_lambda": (lambda s, d: _lambda(transforms.boxcox, s, d), M + _boxcox_sql()),
+    "prep_yeojohnson_lambda": (lambda s, d: _lambda(transforms.yeojohnson, s, d), M + _yeojohnson_sql()),
+    # standardised afterwards, so that the last digits of the power don't show
+    "prep_boxcox_scaled": (lambda s, d: rounded(transforms.scale()(transforms.boxcox()(monthly(s, d))), 4), M + _boxcox_sql("SELECT m.*, likely FROM m JOIN p USING (entity)", "pow(value, likely) * sign(likely)")),
+    "prep_yeojohnson_scaled": (lambda s, d: rounded(transforms.scale()(transforms.yeojohnson()(monthly(s, d))), 4), M + _yeojohnson_sql("SELECT m.*, likely FROM m JOIN p USING (entity)", "pow(1 + value, likely) * sign(likely)")),
     "prep_boxcox_inverse": (_back(transforms.boxcox, 2), M + " SELECT entity, month, round(value, 2) AS value FROM m"),
     "prep_yeojohnson": (_on_m(transforms.yeojohnson), None),
     "prep_yeojohnson_inverse": (_back(transforms.yeojohnson, 2), M + " SELECT entity, month, round(value, 2) AS value FROM m"),
@@ -309,7 +336,7 @@ QUERIES: dict[str, tuple[Q, str | None]] = {
         _forecast(lambda: forecasting.linear_model("1mo", 1, strategy="direct", max_horizons=2), 2, 1),
         M + FUTURE.format(2) + f", x AS (SELECT value AS y, lag(value, 1) OVER {W} AS l1, lag(value, 2) OVER {W} AS l2 FROM m), w AS (SELECT 1 AS h, regr_slope(y, l1) AS b, regr_intercept(y, l1) AS a FROM x WHERE l2 IS NOT NULL UNION ALL SELECT 2, regr_slope(y, l2), regr_intercept(y, l2) FROM x WHERE l2 IS NOT NULL) SELECT entity, CAST(last + CAST(w.h AS INT) * INTERVAL 1 MONTH AS DATE) AS month, round(a + b * v, 1) AS value FROM f CROSS JOIN w",
     ),
-    "fc_linear_ensemble": (_forecast(lambda: forecasting.linear_model("1mo", 6, strategy="ensemble", max_horizons=6), 6), None),
+    "fc_linear_ensemble": (_forecast(lambda: forecasting.linear_model("1mo", 3, strategy="ensemble", max_horizons=4), 4, 0), M + ENSEMBLE),
     "fc_ridge": (_forecast(lambda: forecasting.ridge("1mo", 6), 6, 0), M + recursive(6, 6, 1.0)),
     "fc_lasso": (_forecast(lambda: forecasting.lasso("1mo", 6), 6), None),
     "fc_elastic_net": (_forecast(lambda: forecasting.elastic_net("1mo", 6), 6), None),
@@ -322,7 +349,7 @@ QUERIES: dict[str, tuple[Q, str | None]] = {
     "fc_glm_poisson": (_forecast(lambda: forecasting.glm("1mo", 3, "poisson"), 1), None),
     "fc_glm_gamma": (_forecast(lambda: forecasting.glm("1mo", 3, "gamma"), 1), None),
     "fc_glm_tweedie": (_forecast(lambda: forecasting.glm("1mo", 3, "tweedie"), 1), None),
-    "fc_knn": (_forecast(lambda: forecasting.knn("1mo", 6, 5, 3), 3), None),
+    "fc_knn": (_forecast(lambda: forecasting.knn("1mo", 6, 5, 3), 3), M + KNN),
     "fc_ann": (_forecast(lambda: forecasting.ann("1mo", 6), 1), None),
     "fc_censored": (_forecast(lambda: forecasting.censored_model("1mo", 3, 1e6), 1), None),
     "fc_zero_inflated": (_forecast(lambda: forecasting.zero_inflated_model("1mo", 3), 1), None),
