@@ -229,3 +229,42 @@ def test_features_are_transformed_too(driven):
     shifted = fc.transformed(fc.ridge("1i", 2, 0.1), feature_transform=lambda f: f.withColumn("z", F.col("z") * 2))
     got = {(r["id"], r["t"]): r["x"] for r in shifted(y, X).forecast(2, X).collect()}
     assert len(got) == 4 and all(abs(v - want[k]) < 8 for k, v in got.items())
+
+
+def test_stacked_ensemble(spark):
+    """Where one base model is far better than the others, the regression leans on it."""
+    rows = [(e, i, 100.0 * k + 10 * (i % 4)) for k, e in enumerate("abcdef") for i in range(60)]
+    y = spark.createDataFrame(rows, "id string, t int, x double")
+    base = {"seasonal": fc.snaive("1i", 4), "last": fc.naive("1i"), "other": fc.snaive("1i", 3)}
+    for strategy in ("mean", "lasso"):
+        model = fc.elite(base, 4, 2, 3, strategy)(y, None)
+        got = {(r["id"], r["t"]): r["x"] for r in model.forecast(4, None).collect()}
+        assert len(got) == 24
+        if strategy == "lasso":
+            assert all(abs(got[e, 60 + i] - (100.0 * k + 10 * (i % 4))) < 1 for k, e in enumerate("abcdef") for i in range(4))
+    with pytest.raises(ValueError):
+        fc.elite(base, 4, strategy="other")
+
+
+def test_high_levels_lose_no_digits(spark):
+    rng = np.random.default_rng(4)
+    x = np.cumsum(rng.normal(size=200))
+    fits = []
+    for level in (0.0, 1e9):
+        y = spark.createDataFrame([("a", i, float(level + v)) for i, v in enumerate(x)], "id string, t int, x double")
+        fits.append(fc.linear_model("1i", 2)(y, None).weights[1][1:])
+    assert np.allclose(fits[0], fits[1], atol=1e-5)
+
+
+def test_missing_features_are_an_error(driven):
+    y, X, _ = driven
+    with pytest.raises(ValueError):
+        fc.ridge("1i", 2)(y, X).forecast(5, X)
+
+
+def test_censored_with_own_models(driven):
+    y, X, want = driven
+    mean = lambda rows, inputs: (lambda m: lambda new: new.withColumn("prediction", F.lit(m)))(rows.agg(F.avg("y")).first()[0])
+    sure = lambda rows, inputs: lambda new: new.withColumn("prediction", (F.col("z") > 50).cast("double"))
+    got = {(r["id"], r["t"]): r["x"] for r in fc.censored_model("1i", 2, 30.0, 1, mean, sure)(y, X).forecast(1, X).collect()}
+    assert len(got) == 2 and all(abs(v - want[k]) < 4 for k, v in got.items())

@@ -3,7 +3,9 @@
 A feature is a function of a `Prep`; it asks the Prep for the window columns it needs (position, neighbours, run
 numbers, means ...) and returns an aggregate. `extract` computes any number of features in one plan with a single
 exchange on the entity: window columns asked for twice are computed once, and windows over (entity, something) keep to
-the partitioning by entity.
+the partitioning by entity. Features that need no order are spared that: figures of a whole series come from partial
+aggregates that are joined back, and counts of equal values from windows over (entity, value), so that an entity with a
+large share of all rows is shared by many tasks.
 
 Contract: rows whose value is null or NaN are left out; order is by time, then value. An entity without any row left
 has no result. What a feature gives for too short or constant series is stated by the feature.
@@ -27,6 +29,7 @@ class Prep:
 
     def __init__(self) -> None:
         self.levels: list[dict[str, Column]] = []
+        self.totals: dict[str, Column] = {}
         self.v, self.t, self.e = F.col("v__"), F.col("t__"), F.col("e__")
         self.by_entity = Window.partitionBy("e__")
         self.along = self.by_entity.orderBy("t__", "v__")
@@ -43,7 +46,7 @@ class Prep:
 
     @property
     def n(self) -> Column:
-        return self.put(0, "n__", F.count(F.lit(1)).over(self.by_entity))
+        return self.whole("n", F.count(F.lit(1)))
 
     def lag(self, k: int) -> Column:
         return self.put(0, f"lag{k}__", F.lag("v__", k).over(self.along)) if k else self.v
@@ -55,8 +58,10 @@ class Prep:
     def change(self) -> Column:
         return self.v - self.lag(1)
 
-    def whole(self, name: str, aggregate: Column, level: int = 0) -> Column:
-        return self.put(level, f"{name}__", aggregate.over(self.by_entity))
+    def whole(self, name: str, aggregate: Column) -> Column:
+        """A figure of the whole series, beside each of its rows."""
+        self.totals.setdefault(f"{name}__", aggregate)
+        return F.col(f"{name}__")
 
     @property
     def mean(self) -> Column:
@@ -78,6 +83,9 @@ class Prep:
         """How often the row's value occurs in its series."""
         return self.put(0, "copies__", F.count(F.lit(1)).over(Window.partitionBy("e__", "v__")))
 
+    #: Window columns over (entity, value).
+    BY_VALUE = frozenset(("copies__", "copy__"))
+
     @property
     def first_copy(self) -> Column:
         return self.put(0, "copy__", F.row_number().over(Window.partitionBy("e__", "v__").orderBy("t__"))) == 1
@@ -98,8 +106,13 @@ def extract(df: DataFrame, entity: str, time: str, value: str, features: dict[st
     prep = Prep()
     aggregates = [f(prep).alias(name) for name, f in features.items()]
     rows = df.select(F.col(entity).alias("e__"), F.col(time).alias("t__"), F.col(value).cast("double").alias("v__")).where("v__ is not null and not isnan(v__)")
-    if prep.levels:
+    if any(name not in Prep.BY_VALUE for level in prep.levels for name in level):
         rows = rows.repartition("e__")  # one exchange; every window below and the aggregate keep to it
+        if prep.totals:
+            rows = rows.select("*", *[c.over(prep.by_entity).alias(n) for n, c in prep.totals.items()])
+    elif prep.totals:
+        totals = rows.groupBy(F.col("e__").alias("of__")).agg(*[c.alias(n) for n, c in prep.totals.items()])
+        rows = rows.join(totals, F.col("e__").eqNullSafe(F.col("of__"))).drop("of__")
     for level in prep.levels:
         rows = rows.select("*", *[c.alias(n) for n, c in level.items()])
     return rows.groupBy("e__").agg(*aggregates).withColumnRenamed("e__", entity)

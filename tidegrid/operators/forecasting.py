@@ -233,12 +233,15 @@ def _future_features(y: DataFrame, X_future: DataFrame | None, names: Sequence[s
     if X_future is None:
         raise ValueError("the model was fitted with features: X_future is needed")
     on = [c for c in (p.entity, p.time) if c in X_future.columns]
-    return times.join(X_future, on, "left")
+    future = times.join(X_future.select(*on, *names), on, "left")
+    if not future.where(F.lit(False) if not names else F.greatest(*[future[f].isNull().cast("int") for f in names], F.lit(0)) > 0).isEmpty():
+        raise ValueError(f"X_future lacks {', '.join(names)} for some of the times to forecast")
+    return future
 
 
 def _known(future: DataFrame, names: Sequence[str]) -> list[Column]:
-    """Features of future times as doubles, 0 where X_future has none."""
-    return [F.coalesce(future[f].cast("double"), F.lit(0.0)).alias(f) for f in names]
+    """Features of future times as doubles."""
+    return [future[f].cast("double").alias(f) for f in names]
 
 
 def autoregressive(freq: str, lags: int, how: Linear = Linear(), strategy: str = "recursive", max_horizons: int = 12) -> Forecaster:
@@ -252,14 +255,23 @@ def autoregressive(freq: str, lags: int, how: Linear = Linear(), strategy: str =
         rows, names = joined_features(y, X)
         ahead = 1 if strategy == "recursive" else max_horizons
         columns = ["y", *[f"lag_{k}" for k in range(1, lags + ahead)], *names]
-        folds = gram(design(rows, lags, names, ahead), columns, max(1, how.cv))
+        # sums of figures near zero keep the digits that those of a high level would lose
+        about = rows.agg(F.avg(F.col(p.values[0]).cast("double")).alias("y"), *[F.avg(F.col(f).cast("double")).alias(f) for f in names]).first().asDict()
+        middle = {c: float(about[c if c in names else "y"] or 0.0) for c in columns}
+        middle = {c: m if np.isfinite(m) else 0.0 for c, m in middle.items()}
+        near = design(rows, lags, names, ahead).select(*[(F.col(c) - middle[c]).alias(c) for c in columns])
+        folds = gram(near, columns, max(1, how.cv))
         at = {c: i + 1 for i, c in enumerate(columns)}
-        weights = {h: how.weights(folds, [0, 1, *[at[f"lag_{k}"] for k in range(h, h + lags)], *[at[f] for f in names]]) for h in range(1, ahead + 1)}
+        weights = {}
+        for h in range(1, ahead + 1):
+            used = [*[f"lag_{k}" for k in range(h, h + lags)], *names]
+            w = how.weights(folds, [0, 1, *[at[c] for c in used]])
+            weights[h] = np.r_[w[0] + middle["y"] - sum(b * middle[c] for b, c in zip(w[1:], used, strict=True)), w[1:]]
         last = last_values(y, lags)
 
         def effect(w: np.ndarray) -> Column:
             """Intercept and features' part of a step."""
-            return sum((F.coalesce(F.col(f).cast("double"), F.lit(0.0)) * float(b) for f, b in zip(names, w[1 + lags :], strict=True)), F.lit(float(w[0])))
+            return sum((F.col(f).cast("double") * float(b) for f, b in zip(names, w[1 + lags :], strict=True)), F.lit(float(w[0])))
 
         def recursive(fh: int, X_future: DataFrame | None) -> DataFrame:
             w = weights[1]
@@ -418,24 +430,41 @@ def glm(freq: str, lags: int, family: str = "poisson", max_horizons: int = 1, **
     return direct(freq, lags, max_horizons, fit_step)
 
 
-def censored_model(freq: str, lags: int, threshold: float = 0.0, max_horizons: int = 1) -> Forecaster:
+def _linear(rows: DataFrame, inputs: list[str]) -> Callable[[DataFrame], DataFrame]:
+    to = VectorAssembler(inputCols=inputs, outputCol="x__")
+    model = LinearRegression(featuresCol="x__", labelCol="y", regParam=1e-6).fit(to.transform(rows))
+    return lambda new: model.transform(to.transform(new))
+
+
+def _logistic(rows: DataFrame, inputs: list[str]) -> Callable[[DataFrame], DataFrame]:
+    to = VectorAssembler(inputCols=inputs, outputCol="x__")
+    model = LogisticRegression(featuresCol="x__", labelCol="over__", probabilityCol="proba__", rawPredictionCol="raw__", predictionCol="class__").fit(to.transform(rows))
+    return lambda new: model.transform(to.transform(new)).withColumn("prediction", vector_to_array("proba__")[1])
+
+
+def censored_model(freq: str, lags: int, threshold: float = 0.0, max_horizons: int = 1, regress: StepFit | None = None, classify: StepFit | None = None) -> Forecaster:
     """P(y > threshold) times the regression on values above it, plus, unless the threshold is 0, P(y <= threshold)
-    times the regression on those below. The forecast has `threshold_proba` besides."""
+    times the regression on those below. The forecast has `threshold_proba` besides.
+
+    `regress(rows, inputs)` fits y and gives a function that adds `prediction`, by default a linear regression;
+    `classify(rows, inputs)` fits over__ (1 above the threshold) and adds `prediction`, the probability, by default a
+    logistic regression."""
 
     def fit_step(rows: DataFrame, inputs: list[str]) -> Callable[[DataFrame], DataFrame]:
-        to = VectorAssembler(inputCols=inputs, outputCol="x__")
-        rows = to.transform(rows).withColumn("over__", (F.col("y") > threshold).cast("double"))
+        rows = rows.withColumn("over__", (F.col("y") > threshold).cast("double"))
         share = rows.agg(F.avg("over__")).first()[0] or 0.0
-        classify = LogisticRegression(featuresCol="x__", labelCol="over__", probabilityCol="proba__", rawPredictionCol="raw__", predictionCol="class__").fit(rows) if 0 < share < 1 else None
-        part = lambda over, name: LinearRegression(featuresCol="x__", labelCol="y", predictionCol=name, regParam=1e-6).fit(rows.where(F.col("over__") == over))
-        above = part(1.0, "above__") if share > 0 else None
-        below = part(0.0, "below__") if threshold != 0 and share < 1 else None
+        proba = (classify or _logistic)(rows, inputs) if 0 < share < 1 else None
+        part = lambda over: (regress or _linear)(rows.where(F.col("over__") == over).drop("over__"), inputs)
+        above = part(1.0) if share > 0 else None
+        below = part(0.0) if threshold != 0 and share < 1 else None
+
+        def told(fitted: Callable[[DataFrame], DataFrame] | None, new: DataFrame, name: str, other: float) -> DataFrame:
+            if fitted is None:
+                return new.withColumn(name, F.lit(other))
+            return fitted(new).select(*new.columns, F.col("prediction").cast("double").alias(name))
 
         def predict(new: DataFrame) -> DataFrame:
-            out = to.transform(new)
-            out = classify.transform(out).withColumn("threshold_proba", vector_to_array("proba__")[1]) if classify else out.withColumn("threshold_proba", F.lit(float(share)))
-            out = above.transform(out) if above else out.withColumn("above__", F.lit(0.0))
-            out = below.transform(out) if below else out.withColumn("below__", F.lit(0.0))
+            out = told(below, told(above, told(proba, new, "threshold_proba", float(share)), "above__", 0.0), "below__", 0.0)
             return out.withColumn("prediction", F.col("threshold_proba") * F.col("above__") + (1 - F.col("threshold_proba")) * F.col("below__"))
 
         return predict
@@ -745,18 +774,40 @@ def auto_boosted_trees(freq: str, lags: Sequence[int] = (3, 6), fh: int = 1, dep
     return auto(boosted_trees, freq, lags, fh, grid=[{"maxDepth": d, "max_horizons": fh} for d in depths], **kw)
 
 
-def elite(base: dict[str, Forecaster], fh: int, top_k: int = 3, n_splits: int = 3) -> Forecaster:
-    """For each entity the mean forecast of the top_k base models of least backtest error."""
+auto_lightgbm = auto_boosted_trees
+
+
+def elite(base: dict[str, Forecaster], fh: int, top_k: int = 3, n_splits: int = 3, strategy: str = "mean") -> Forecaster:
+    """For each entity the forecasts of the top_k base models of least backtest error, put together by their mean or
+    (`lasso`) by one regression of all entities' backtests on the forecasts by rank and the step ahead."""
+    if strategy not in ("mean", "lasso"):
+        raise ValueError(f"strategy is mean or lasso, not {strategy!r}")
+    ranks = [f"model_{k}" for k in range(1, top_k + 1)]
+
+    def side_by_side(told: DataFrame, winners: DataFrame, p: PanelSpec, keys: list[str]) -> DataFrame:
+        """keys, step__ (position in its window) and a column for each rank, for rows with all of them."""
+        rows = told.join(winners, [p.entity, "model"])
+        wide = rows.groupBy(*keys).agg(*[F.max(F.when(F.col("r__") == k, F.col(p.values[0]))).alias(c) for k, c in enumerate(ranks, 1)])
+        window = Window.partitionBy(*[k for k in keys if k != p.time]).orderBy(p.time)
+        return wide.withColumn("step__", F.row_number().over(window).cast("double"))
 
     def fit(y: DataFrame, X: DataFrame | None = None) -> Model:
         p = PanelSpec.of(y)
-        scores: DataFrame | None = None
+        tests: DataFrame | None = None
         for name, f in base.items():
-            _, resid = backtest(f, y, fh, n_splits, fh, X)
-            one = resid.groupBy(p.entity).agg(F.avg(F.abs("y_resid")).alias("score")).withColumn("model", F.lit(name))
-            scores = one if scores is None else scores.unionByName(one)
+            told, resid = backtest(f, y, fh, n_splits, fh, X)
+            one = told.join(resid, [p.entity, p.time, "split"]).withColumn("model", F.lit(name))
+            tests = one if tests is None else tests.unionByName(one)
+        tests = written(tests)
+        scores = tests.groupBy(p.entity, "model").agg(F.avg(F.abs("y_resid")).alias("score"))
         rank = F.row_number().over(Window.partitionBy(p.entity).orderBy("score", "model"))
-        winners = written(scores.withColumn("r__", rank).where(F.col("r__") <= top_k).select(p.entity, "model"))
+        winners = written(scores.withColumn("r__", rank).where(F.col("r__") <= top_k).select(p.entity, "model", "r__"))
+        weights = None
+        if strategy == "lasso":
+            real = tests.groupBy(p.entity, p.time, "split").agg(F.first(F.col(p.values[0]) + F.col("y_resid")).alias("y"))
+            stack = side_by_side(tests, winners, p, [p.entity, "split", p.time]).join(real, [p.entity, p.time, "split"])
+            columns = ["y", *ranks, "step__"]
+            weights = informed_lasso(gram(stack.select(*columns).na.drop(), columns)[0])
         models = {name: f(y, X) for name, f in base.items()}
 
         def forecast(fh: int, X_future: DataFrame | None = None) -> DataFrame:
@@ -764,13 +815,34 @@ def elite(base: dict[str, Forecaster], fh: int, top_k: int = 3, n_splits: int =
             for name, m in models.items():
                 one = m.forecast(fh, X_future).select(p.entity, p.time, p.values[0]).withColumn("model", F.lit(name))
                 told = one if told is None else told.unionByName(one)
-            return told.join(winners, [p.entity, "model"]).groupBy(p.entity, p.time).agg(F.avg(p.values[0]).alias(p.values[0]))
+            if weights is None:
+                return told.join(winners, [p.entity, "model"]).groupBy(p.entity, p.time).agg(F.avg(p.values[0]).alias(p.values[0]))
+            wide = side_by_side(told, winners, p, [p.entity, p.time])
+            value = sum((F.col(c) * float(b) for c, b in zip([*ranks, "step__"], weights[1:], strict=True)), F.lit(float(weights[0])))
+            return wide.select(p.entity, p.time, value.alias(p.values[0]))
 
-        return Model(forecast)
+        return Model(forecast, {} if weights is None else {1: weights})
 
     return Forecaster(fit, max((getattr(f, "lags", 0) for f in base.values()), default=0))
 
 
+def informed_lasso(g: np.ndarray, steps: int = 30) -> np.ndarray:
+    """(intercept, coefficients) of the lasso of least Akaike criterion, from the weakest penalty that leaves no
+    coefficient down to none; columns are scaled alike."""
+    n, _, a, b, _ = _centred(g)
+    scale = np.r_[1.0, 1.0, np.sqrt(np.maximum(np.diag(a) / n, 1e-300))]
+    h = g / np.outer(scale, scale)
+    most = float(np.abs(b / scale[2:] / n).max())
+    best, found = np.inf, None
+    for alpha in [*np.geomspace(most, most * 1e-5, steps), 0.0]:
+        w = solve(h, "lasso", alpha)
+        error = max(squared_error(h, w), 1e-300)
+        told = n * np.log(error / n) + 2 * np.count_nonzero(w[1:])
+        if told < best:
+            best, found = told, np.r_[w[0], w[1:] / scale[2:]]
+    return found
+
+
 def score(model: Model, y_train: DataFrame, y_test: DataFrame, fh: int) -> DataFrame:
     """Eight metrics per entity of a fitted model against what came."""
     return metrics.score_forecast(y_test, model.forecast(fh, None), y_train)
