@@ -16,6 +16,7 @@ def frame(spark, series):
     return spark.createDataFrame(rows[::-1], "id string, t timestamp_ntz, x double")
 
 
+# Given series and the results they must have.
 CASES = [
     ("absolute_energy", f.absolute_energy(), [-5, 0, 1], 26),
     ("absolute_maximum", f.absolute_maximum(), [-5, 0, 1], 5),

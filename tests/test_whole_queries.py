@@ -29,3 +29,14 @@ def test_wide_holds_every_entity(spark, data):
     assert set(wide.columns) - {"month"} == {str(k) for k in range(25)}
     long = entry.queries()["wide_to_long"](spark, data).toPandas()
     assert len(nations) > 4 and set(long["entity"]) == nations and len(long) == len(nations) * wide.count()
+
+
+def test_observed_days_and_other_countries(spark):
+    days = [dt.date(2021, 1, 1) + dt.timedelta(i) for i in range(365)]
+    df = spark.createDataFrame([("a", d) for d in days], "id string, day date")
+    got = {str(r["day"]): r["holiday__US"] for r in seasonality.add_holiday_effects(df, ["US"], observed=True).collect() if r["holiday__US"]}
+    assert got == US | {"2021-06-18": "juneteenth_national_independence_day_(observed)", "2021-07-05": "independence_day_(observed)", "2021-12-24": "christmas_day_(observed)", "2021-12-31": "new_years_day_(observed)"}
+    some = seasonality.add_holiday_effects(df, ["CA", "IT", "ES", "AT", "BE", "PL", "GB"]).collect()
+    at = {str(r["day"]): r for r in some}
+    assert at["2021-05-24"]["holiday__CA"] == "victoria_day" and at["2021-04-04"]["holiday__IT"] == "easter_sunday" and at["2021-06-03"]["holiday__PL"] == at["2021-06-03"]["holiday__AT"] == "corpus_christi"
+    assert at["2021-12-06"]["holiday__ES"] == "constitution_day" and at["2021-07-21"]["holiday__BE"] == "national_day" and at["2021-08-30"]["holiday__GB"] == "late_summer_bank_holiday"

@@ -53,47 +53,79 @@ _fixed = lambda m, d: lambda y: dt.date(y, m, d)
 _on = lambda m, w, n: lambda y: _nth(y, m, w, n)
 _easter = lambda days: lambda y: easter(y) + dt.timedelta(days)
 
-# Public holidays by rule.
+def _before(month: int, day: int, weekday: int) -> Rule:
+    """The last such weekday (0: Monday) before a day."""
+    return lambda y: dt.date(y, month, day) - dt.timedelta((dt.date(y, month, day).weekday() - weekday - 1) % 7 + 1)
+
+
+# Nation-wide public holidays by rule.
+_NEW_YEAR, _CHRISTMAS, _EASTER_MONDAY = {"New Year's Day": _fixed(1, 1)}, {"Christmas Day": _fixed(12, 25)}, {"Easter Monday": _easter(1)}
 HOLIDAYS: dict[str, dict[str, Rule]] = {
-    "US": {
-        "New Year's Day": _fixed(1, 1), "Martin Luther King Jr. Day": _on(1, 0, 3), "Washington's Birthday": _on(2, 0, 3), "Memorial Day": _on(5, 0, -1), "Juneteenth National Independence Day": lambda y: dt.date(y, 6, 19) if y >= 2021 else None,
-        "Independence Day": _fixed(7, 4), "Labor Day": _on(9, 0, 1), "Columbus Day": _on(10, 0, 2), "Veterans Day": _fixed(11, 11), "Thanksgiving Day": _on(11, 3, 4), "Christmas Day": _fixed(12, 25),
-    },
-    "UK": {
-        "New Year's Day": _fixed(1, 1), "Good Friday": _easter(-2), "Easter Monday": _easter(1), "May Day": _on(5, 0, 1), "Spring Bank Holiday": _on(5, 0, -1), "Late Summer Bank Holiday": _on(8, 0, -1), "Christmas Day": _fixed(12, 25), "Boxing Day": _fixed(12, 26),
-    },
-    "DE": {
-        "New Year's Day": _fixed(1, 1), "Good Friday": _easter(-2), "Easter Monday": _easter(1), "Labor Day": _fixed(5, 1), "Ascension Day": _easter(39), "Whit Monday": _easter(50), "German Unity Day": _fixed(10, 3), "Christmas Day": _fixed(12, 25), "Second Day of Christmas": _fixed(12, 26),
-    },
-    "FR": {
-        "New Year's Day": _fixed(1, 1), "Easter Monday": _easter(1), "Labor Day": _fixed(5, 1), "Victory Day": _fixed(5, 8), "Ascension Day": _easter(39), "Whit Monday": _easter(50), "National Day": _fixed(7, 14), "Assumption Day": _fixed(8, 15), "All Saints' Day": _fixed(11, 1), "Armistice Day": _fixed(11, 11), "Christmas Day": _fixed(12, 25),
-    },
+    "US": _NEW_YEAR | {
+        "Martin Luther King Jr. Day": _on(1, 0, 3), "Washington's Birthday": _on(2, 0, 3), "Memorial Day": _on(5, 0, -1), "Juneteenth National Independence Day": lambda y: dt.date(y, 6, 19) if y >= 2021 else None,
+        "Independence Day": _fixed(7, 4), "Labor Day": _on(9, 0, 1), "Columbus Day": _on(10, 0, 2), "Veterans Day": _fixed(11, 11), "Thanksgiving Day": _on(11, 3, 4),
+    } | _CHRISTMAS,
+    "UK": _NEW_YEAR | {"Good Friday": _easter(-2)} | _EASTER_MONDAY | {"May Day": _on(5, 0, 1), "Spring Bank Holiday": _on(5, 0, -1), "Late Summer Bank Holiday": _on(8, 0, -1)} | _CHRISTMAS | {"Boxing Day": _fixed(12, 26)},
+    "DE": _NEW_YEAR | {"Good Friday": _easter(-2)} | _EASTER_MONDAY | {"Labor Day": _fixed(5, 1), "Ascension Day": _easter(39), "Whit Monday": _easter(50), "German Unity Day": _fixed(10, 3)} | _CHRISTMAS | {"Second Day of Christmas": _fixed(12, 26)},
+    "FR": _NEW_YEAR | _EASTER_MONDAY | {
+        "Labor Day": _fixed(5, 1), "Victory Day": _fixed(5, 8), "Ascension Day": _easter(39), "Whit Monday": _easter(50), "National Day": _fixed(7, 14), "Assumption Day": _fixed(8, 15), "All Saints' Day": _fixed(11, 1), "Armistice Day": _fixed(11, 11),
+    } | _CHRISTMAS,
+    "AT": _NEW_YEAR | {"Epiphany": _fixed(1, 6)} | _EASTER_MONDAY | {
+        "Labor Day": _fixed(5, 1), "Ascension Day": _easter(39), "Whit Monday": _easter(50), "Corpus Christi": _easter(60), "Assumption Day": _fixed(8, 15), "National Day": _fixed(10, 26), "All Saints' Day": _fixed(11, 1), "Immaculate Conception": _fixed(12, 8),
+    } | _CHRISTMAS | {"Saint Stephen's Day": _fixed(12, 26)},
+    "IT": _NEW_YEAR | {"Epiphany": _fixed(1, 6), "Easter Sunday": _easter(0)} | _EASTER_MONDAY | {
+        "Liberation Day": _fixed(4, 25), "Labor Day": _fixed(5, 1), "Republic Day": _fixed(6, 2), "Assumption Day": _fixed(8, 15), "All Saints' Day": _fixed(11, 1), "Immaculate Conception": _fixed(12, 8),
+    } | _CHRISTMAS | {"Saint Stephen's Day": _fixed(12, 26)},
+    "ES": _NEW_YEAR | {
+        "Epiphany": _fixed(1, 6), "Good Friday": _easter(-2), "Labor Day": _fixed(5, 1), "Assumption Day": _fixed(8, 15), "National Day": _fixed(10, 12), "All Saints' Day": _fixed(11, 1), "Constitution Day": _fixed(12, 6), "Immaculate Conception": _fixed(12, 8),
+    } | _CHRISTMAS,
+    "BE": _NEW_YEAR | {"Easter Sunday": _easter(0)} | _EASTER_MONDAY | {
+        "Labor Day": _fixed(5, 1), "Ascension Day": _easter(39), "Whit Sunday": _easter(49), "Whit Monday": _easter(50), "National Day": _fixed(7, 21), "Assumption Day": _fixed(8, 15), "All Saints' Day": _fixed(11, 1), "Armistice Day": _fixed(11, 11),
+    } | _CHRISTMAS,
+    "PL": _NEW_YEAR | {"Epiphany": _fixed(1, 6), "Easter Sunday": _easter(0)} | _EASTER_MONDAY | {
+        "Labor Day": _fixed(5, 1), "Constitution Day": _fixed(5, 3), "Pentecost": _easter(49), "Corpus Christi": _easter(60), "Assumption Day": _fixed(8, 15), "All Saints' Day": _fixed(11, 1), "Independence Day": _fixed(11, 11),
+    } | _CHRISTMAS | {"Second Day of Christmas": _fixed(12, 26)},
+    "CA": _NEW_YEAR | {"Good Friday": _easter(-2), "Victoria Day": _before(5, 25, 0), "Canada Day": _fixed(7, 1), "Labor Day": _on(9, 0, 1), "Thanksgiving": _on(10, 0, 2), "Remembrance Day": _fixed(11, 11)} | _CHRISTMAS,
 }
+HOLIDAYS["GB"] = HOLIDAYS["UK"]
 
 
 def slug(name: str) -> str:
     return re.sub(r"[\s_]+", "_", name.lower().replace("'", "").replace("-", "").replace(".", "")).strip("_")
 
 
-def holiday_table(spark: SparkSession, country_codes: Sequence[str], years: range) -> DataFrame:
+def holiday_table(spark: SparkSession, country_codes: Sequence[str], years: range, observed: bool = False) -> DataFrame:
     """country, date, slug: a few dozen rows a year and country."""
     if unknown := set(country_codes) - set(HOLIDAYS):
         raise ValueError(f"no rules for {sorted(unknown)}")
-    rows = {(c, day): slug(n) for c in country_codes for y in years for n, rule in HOLIDAYS[c].items() if (day := rule(y))}
-    return spark.createDataFrame([(c, d, s) for (c, d), s in rows.items()], "country string, date date, slug string")
+    rows: dict[tuple[str, dt.date], str] = {}
+    for c in country_codes:
+        more = [max(years) + 1] if observed and len(years) else []  # the next New Year's Day may be observed in the last year
+        named = [(n, day) for y in [*years, *more] for n, rule in HOLIDAYS[c].items() if (day := rule(y))]
+        beside = [o for n, day in named if (o := observed_days(n, day))] if observed and c == "US" else []
+        for n, day in [*beside, *named]:  # a holiday itself goes before one observed that day
+            rows[c, day] = slug(n)
+    return spark.createDataFrame([(c, d, n) for (c, d), n in rows.items()], "country string, date date, slug string")
+
+
+def observed_days(name: str, day: dt.date) -> tuple[str, dt.date] | None:
+    """The working day on which a holiday that falls on a weekend is observed: Friday for Saturday, Monday for Sunday."""
+    shift = {5: -1, 6: 1}.get(day.weekday())
+    return (f"{name} (observed)", day + dt.timedelta(shift)) if shift else None
 
 
-def add_holiday_effects(df: DataFrame, country_codes: Sequence[str], as_dummies: bool = False) -> DataFrame:
-    """Columns holiday__{code} with the day's holiday as a slug (null on others), or 0/1 columns for each slug."""
+def add_holiday_effects(df: DataFrame, country_codes: Sequence[str], as_dummies: bool = False, observed: bool = False) -> DataFrame:
+    """Columns holiday__{code} with the day's holiday as a slug (null on others), or 0/1 columns for each slug. With
+    `observed`, US holidays on weekends are also marked on the working day beside, as {slug}_(observed)."""
     p = PanelSpec.of(df)
     lo, hi = df.agg(F.min(F.year(p.time)), F.max(F.year(p.time))).first()
     years = range(max(lo, 1583), min(hi, 9998) + 1) if lo is not None else range(0)
     out = df
     for code in country_codes:
-        days = holiday_table(df.sparkSession, [code], years).select(F.col("date").alias("d__"), F.col("slug").alias(f"holiday__{code}"))
+        days = holiday_table(df.sparkSession, [code], years, observed).select(F.col("date").alias("d__"), F.col("slug").alias(f"holiday__{code}"))
         out = out.join(days, F.col(p.time).cast("date") == F.col("d__"), "left").drop("d__")
         if as_dummies:
-            names = sorted({slug(n) for n in HOLIDAYS[code]})
+            names = sorted({slug(n) for n in HOLIDAYS[code]} | ({slug(f"{n} (observed)") for n in HOLIDAYS[code]} if observed and code == "US" else set()))
             out = out.withColumns({f"holiday__{code}_{n}": F.coalesce((F.col(f"holiday__{code}") == n).cast("int"), F.lit(0)) for n in names}).drop(f"holiday__{code}")
     return out
 
