@@ -111,3 +111,23 @@ def test_kernels():
     for kernel in (k.approximate_entropy(), k.sample_entropy(), k.fourier_entropy(), k.spkt_welch_density(), k.friedrich_coefficients(), k.number_cwt_peaks(), k.fft_coefficients(), k.lempel_ziv_complexity(0.0), k.cusum(1.0, 2), k.cwt_coefficients(), k.autoregressive_coefficients(1), k.augmented_dickey_fuller(1)):
         for short in ([], [1.0], [1.0, 1.0], [2.0] * 30):
             kernel(np.array(short))
+
+
+def test_shards_give_what_whole_series_give(spark):
+    """Ordered features, with ties, a null entity, short series, and shards smaller than their reach."""
+    from tidegrid.plans.feature_queries import PLAIN
+
+    rng = np.random.default_rng(6)
+    rows = [(e, int(t), float(np.round(v, 1))) for e, n in (("a", 200), ("b", 31), ("c", 2), (None, 17)) for t, v in zip(rng.integers(0, n // 2 + 1, n), rng.normal(1, 2, n), strict=True)]
+    df = spark.createDataFrame(rows, "e string, t int, v double")
+    some = {n: x[0] for n, x in PLAIN.items() if n != "mean_n_absolute_max"}
+    whole = {r["e"]: r.asDict() for r in f.extract(df, "e", "t", "v", some).collect()}
+    for size in (3, 50):
+        got = {r["e"]: r.asDict() for r in f.extract(df, "e", "t", "v", some, size).collect()}
+        assert set(got) == set(whole)
+        for e, row in whole.items():
+            for n, x in row.items():
+                y = got[e][n]
+                assert x == y or isinstance(x, float) and (math.isnan(x) and math.isnan(y) or x == pytest.approx(y, rel=1e-9)), (e, n, x, y)
+    with pytest.raises(ValueError):
+        f.extract(df, "e", "t", "v", {"x": f.longest_streak_above_mean()}, 10)

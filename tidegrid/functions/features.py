@@ -14,12 +14,14 @@ has no result. What a feature gives for too short or constant series is stated b
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.numbers import NAN, correlation, fdiv, plogp
+from tidegrid.plans.session import written
 
 Feature = Callable[["Prep"], Column]
 
@@ -83,8 +85,8 @@ class Prep:
         """How often the row's value occurs in its series."""
         return self.put(0, "copies__", F.count(F.lit(1)).over(Window.partitionBy("e__", "v__")))
 
-    #: Window columns over (entity, value).
-    BY_VALUE = frozenset(("copies__", "copy__"))
+    #: Columns that need no order in time: windows over (entity, value), and what a row's own value shows.
+    BY_VALUE = frozenset(("copies__", "copy__", "digit__"))
 
     @property
     def first_copy(self) -> Column:
@@ -101,17 +103,63 @@ class Prep:
         return f & last, size
 
 
-def extract(df: DataFrame, entity: str, time: str, value: str, features: dict[str, Feature]) -> DataFrame:
-    """One row per entity: the entity, then a column for each feature."""
+def _in_shards(rows: DataFrame, names: list[str], shard_rows: int) -> DataFrame:
+    """`rows` with the columns i__, mass__, lag{k}__, lead{k}__ among `names`, computed in shards of an entity's rows.
+
+    Shards are ranges of (entity, time, value) of about `shard_rows` rows. Each has a summary of its number of rows, its
+    mass and its outermost values; a prefix scan over an entity's summaries gives every shard what lies before it and the
+    values beside it, and with them each shard's windows are computed on its own."""
+    lags, leads = ([int(n[len(kind) : -2]) for n in names if n.startswith(kind)] for kind in ("lag", "lead"))
+    reach = max([0, *lags, *leads])
+    rows = written(rows)
+    parts = max(1, -(-rows.count() // shard_rows))
+    rows = written(rows.repartitionByRange(parts, "e__", "t__", "v__").withColumn("s__", F.spark_partition_id()))
+    shard = Window.partitionBy("e__", "s__")
+    along = shard.orderBy("t__", "v__")
+    local = rows.select("*", (F.row_number().over(along) - 1).cast("bigint").alias("li__"), F.count(F.lit(1)).over(shard).alias("ln__"))
+    outer = lambda which: F.transform(F.array_sort(F.collect_list(F.when(which, F.struct("li__", "v__")))), lambda x: x["v__"])
+    ends = local.groupBy("e__", "s__").agg(
+        F.count(F.lit(1)).alias("k__"), F.sum(F.abs("v__")).alias("a__"), outer(F.col("li__") < reach).alias("head__"), outer(F.col("li__") >= F.col("ln__") - reach).alias("tail__")
+    )
+    scan = Window.partitionBy("e__").orderBy("s__")
+    before, near = scan.rowsBetween(Window.unboundedPreceding, -1), max(reach, 1)
+    state = ends.select(
+        F.col("e__").alias("of__"), F.col("s__").alias("at__"), F.coalesce(F.sum("k__").over(before), F.lit(0)).alias("rows__"), F.coalesce(F.sum("a__").over(before), F.lit(0.0)).alias("sum__"),
+        F.flatten(F.collect_list("tail__").over(scan.rowsBetween(-near, -1))).alias("left__"), F.flatten(F.collect_list("head__").over(scan.rowsBetween(1, near))).alias("right__"),
+    )
+    along = shard.orderBy("li__")  # equal rows keep the places they have been given
+    joined = local.join(state, F.col("e__").eqNullSafe(F.col("of__")) & (F.col("s__") == F.col("at__")))
+    given = {"i__": F.col("rows__") + F.col("li__"), "mass__": F.col("sum__") + F.sum(F.abs("v__")).over(along.rowsBetween(Window.unboundedPreceding, 0))}
+    for k in lags:
+        given[f"lag{k}__"] = F.when(F.col("li__") >= k, F.lag("v__", k).over(along)).otherwise(F.get("left__", (F.size("left__") - k + F.col("li__")).cast("int")))
+    for k in leads:
+        given[f"lead{k}__"] = F.when(F.col("li__") + k < F.col("ln__"), F.lead("v__", k).over(along)).otherwise(F.get("right__", (F.col("li__") + k - F.col("ln__")).cast("int")))
+    return joined.select("e__", "t__", "v__", *[given[n].alias(n) for n in names])
+
+
+def extract(df: DataFrame, entity: str, time: str, value: str, features: dict[str, Feature], shard_rows: int | None = None) -> DataFrame:
+    """One row per entity: the entity, then a column for each feature.
+
+    With `shard_rows` features in order of time, too, share an entity's rows among tasks, in shards of about so many
+    rows, with the same results; ValueError for those that need runs or patterns of a whole series (streaks, entropies,
+    mean_n_absolute_max)."""
     prep = Prep()
     aggregates = [f(prep).alias(name) for name, f in features.items()]
     rows = df.select(F.col(entity).alias("e__"), F.col(time).alias("t__"), F.col(value).cast("double").alias("v__")).where("v__ is not null and not isnan(v__)")
-    if any(name not in Prep.BY_VALUE for level in prep.levels for name in level):
+    plain = rows
+    placed = [name for level in prep.levels for name in level if name not in Prep.BY_VALUE]
+    if placed and shard_rows is not None:
+        if whole := [n for n in placed if not re.fullmatch(r"i__|mass__|(lag|lead)\d+__", n)]:
+            raise ValueError(f"these can't be computed in shards: {', '.join(sorted(whole))}")
+        rows = _in_shards(rows, placed, shard_rows)
+        prep.levels = [{n: c for n, c in level.items() if n in Prep.BY_VALUE} for level in prep.levels]
+        placed = []
+    if placed:
         rows = rows.repartition("e__")  # one exchange; every window below and the aggregate keep to it
         if prep.totals:
             rows = rows.select("*", *[c.over(prep.by_entity).alias(n) for n, c in prep.totals.items()])
     elif prep.totals:
-        totals = rows.groupBy(F.col("e__").alias("of__")).agg(*[c.alias(n) for n, c in prep.totals.items()])
+        totals = plain.groupBy(F.col("e__").alias("of__")).agg(*[c.alias(n) for n, c in prep.totals.items()])
         rows = rows.join(totals, F.col("e__").eqNullSafe(F.col("of__"))).drop("of__")
     for level in prep.levels:
         rows = rows.select("*", *[c.alias(n) for n, c in level.items()])
