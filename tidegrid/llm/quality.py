@@ -30,6 +30,8 @@ YEAR = re.compile(r"\d/\d|\d{4}")
 BASE = np.uint64(1_000_003)
 MASK = re.compile("[█▓■▉_*]{3,}|\\[[^\\]\n]{0,12}\\]")
 PAGE = re.compile(r"\b(?:page|seite|página|pagina|p\.|s\.)\s*\d+|^\s*-?\s*\d+\s*-?\s*$|^\s*[^\W\d_]{2,6}\s+\d{1,6}/\d{2,4}\s*\d*\s*$")
+#: One of these stands in every match of PAGE that doesn't end with a figure or a dash.
+PAGE_SIGNS = ("page", "seite", "pagina", "página", "p.", "s.")
 #: The first line of a list's entry or of a numbered paragraph.
 ENTRY = re.compile(r"(?:[-*•–·]|[(\[]?([a-z]|\d{1,4})[.)\]]|§\s?(\d{1,4}))\s")
 #: How sentences end.
@@ -146,7 +148,7 @@ class _Text:
         # heading: the short lines before the first blank line; page headers: by their form, unless they come in masses
         head = [t.strip() for t in folded.lstrip().split("\n\n", 1)[0].split("\n")]
         aside = set(head) if 2 <= len(head) <= 6 and _court(head) else set()
-        pages = {t for t in once if len(t) < 90 and PAGE.search(t)}
+        pages = {t for t in once if len(t) < 90 and (t[-1].isdecimal() or t[-1] == "-" or any(x in t for x in PAGE_SIGNS)) and PAGE.search(t)}
         if pages:
             count = Counter(lowered) if self.copies else dict.fromkeys(pages, 1)
             if sum(len(t) * count[t] for t in pages) <= HEADERS * self.total:
